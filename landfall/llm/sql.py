@@ -1 +1,40 @@
 """DuckDB SQL over the same tables, for the queries that SQL can express."""
+
+from __future__ import annotations
+
+from . import quality as q
+
+_WORDS = "list_filter(string_split_regex({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+_N = "len(" + _WORDS + ")"
+_LINE_FAILS = f"""({_N.format("l")} > 0 and (
+    (len(regexp_extract_all(l, '{q.SEPARATORS}')) >= 2 and len(regexp_extract_all(l, '{q.SEPARATORS}')) * 4 >= {_N.format("l")})
+    or (len(regexp_extract_all(l, '{q.NOISE}')) >= 2 and len(regexp_extract_all(l, '{q.NOISE}')) * 5 >= {_N.format("l")})
+    or ({_N.format("l")} >= {q.PLAIN_WORDS} and not regexp_matches(l, '{q.SENTENCE}'))
+    or ({_N.format("l")} <= {q.BOILERPLATE_WORDS} and regexp_matches(l, '{q.BOILERPLATE}'))))"""
+
+#: One row a document with the measures of the quality rules.
+QUALITY = f"""
+with d as (select row_number() over () as row_id, doc_id, coalesce(text, '') as t from {{docs}}),
+w as (select row_id, unnest({_WORDS.format("t")}) as w, generate_subscripts({_WORDS.format("t")}, 1) as i from d),
+g as (select row_id, i, w as a, lead(w, 1) over (partition by row_id order by i) as b, lead(w, 2) over (partition by row_id order by i) as c from w),
+r as (select row_id, i from (select *, count(*) over (partition by row_id, a, b, c) as n from g where c is not null) where n >= 2),
+p as (select row_id, count(distinct k) as n_repeat_words from (select row_id, unnest([i, i + 1, i + 2]) as k from r) group by row_id),
+m as (
+  select d.row_id, doc_id, {_N.format("t")} as n_words,
+    length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) as word_chars,
+    len(regexp_extract_all(t, '{q.SYMBOLS}')) as n_symbols,
+    len(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')))
+      - len(list_distinct(list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')))) as n_dup_lines,
+    coalesce(n_repeat_words, 0) as n_repeat_words,
+    length(regexp_replace(list_aggregate(list_filter(string_split(t, chr(10)), lambda l: not {_LINE_FAILS}), 'string_agg', ''), '[\\x20\\x09-\\x0D]+', '', 'g')) as left_chars
+  from d left join p on d.row_id = p.row_id),
+quality as (
+  select row_id, doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+    cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
+    n_words < {q.BASE_WORDS} or 100 * n_repeat_words > {q.BASE_REPEAT_PERCENT} * n_words as base_failed,
+    not (n_words < {q.BASE_WORDS} or 100 * n_repeat_words > {q.BASE_REPEAT_PERCENT} * n_words)
+      and (word_chars - coalesce(left_chars, 0)) * 100 <= word_chars * {q.LOST_PERCENT} as kept
+  from m)
+"""
+
+op1_quality_rules = QUALITY.replace("{docs}", "documents") + "select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from quality"
