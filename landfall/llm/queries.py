@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, tokens
-from .common import table
+from . import binary, mixing, quality, tokens
+from .common import scratch, table
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,3 +25,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of the line-first rules for every document."""
     judged = quality.line_first_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's place, length and checksum, from the ORC files that its ids were written to."""
+    path = scratch(spark, "ids")
+    binary.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return binary.checksums(binary.read_ids(spark, path))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    mixed = mixing.water_filling(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import mixing as m
 from . import quality as q
 
 _WORDS = "list_filter(string_split_regex({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -38,3 +39,24 @@ quality as (
 """
 
 op1_quality_rules = QUALITY.replace("{docs}", "documents") + "select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from quality"
+
+#: Capped water-filling over a relation with doc_id, source and text.
+MIXING = f"""
+d as (select doc_id, source, case when text is null then 0 else {_N.format("text")} end as size,
+    md5('{m.SEED}:' || coalesce(cast(doc_id as varchar), 'null')) as tag from {{docs}}),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+u as (select *, ([{", ".join(map(str, m.WEIGHTS))}])[((row_number() over (order by source asc nulls last) - 1) % {len(m.WEIGHTS)}) + 1] as weight, source_size * {m.MAX_EPOCHS} as cap from s),
+v as (select *, row_number() over o as place,
+    (sum(source_size) over () - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0))
+    / (sum(weight) over () - coalesce(sum(weight) over (o rows between unbounded preceding and 1 preceding), 0)) as level
+  from u window o as (order by cap / weight asc, source asc nulls last)),
+x as (select *, cap <= weight * level as is_full from v),
+y as (select source, source_size, case when is_full then cast(cap as double) else weight * (select arg_min(level, place) from x where not is_full) end as target from x),
+z as (select d.*, source_size, target, case when source_size > 0 then cast(floor(target / source_size) as bigint) else 0 end as whole,
+    coalesce(sum(size) over (partition by d.source order by tag, size rows between unbounded preceding and 1 preceding), 0) as before_it
+  from d join y on d.source is not distinct from y.source),
+mixed as (select doc_id, cast(size as bigint) as size, source_size, cast(target as double) as target,
+    cast(whole + case when before_it * 2 + size <= (target - whole * source_size) * 2 then 1 else 0 end as bigint) as copies from z)
+"""
+
+op9_mixing = "with " + MIXING.replace("{docs}", "documents") + "select doc_id, size, source_size, target, size * copies as taken from mixed"
