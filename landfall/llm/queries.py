@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, mixing, quality, tokens
+from . import binary, mixing, quality, tokens, warc
 from .common import scratch, table
 
 
@@ -38,3 +38,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     mixed = mixing.water_filling(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives hold of every page, in the order of the merged capture index."""
+    path = scratch(spark, "warc")
+    warc.write_archives(warc.with_records(table(spark, sf_dir, "pages")), path)
+    merged = warc.merged_index(warc.read_archives(spark, path))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import mixing as m
 from . import quality as q
+from . import warc
 
 _WORDS = "list_filter(string_split_regex({0}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 _N = "len(" + _WORDS + ")"
@@ -60,3 +61,12 @@ mixed as (select doc_id, cast(size as bigint) as size, source_size, cast(target
 """
 
 op9_mixing = "with " + MIXING.replace("{docs}", "documents") + "select doc_id, size, source_size, target, size * copies as taken from mixed"
+
+op5_warc = f"""
+with p as (select page_id, coalesce(html, '') as t, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as d from pages),
+g as (select d, n, max(page_id) as head from p where n >= {warc.REVISIT_BYTES} group by d, n having count(*) > 1)
+select page_id, cast(p.n as bigint) as payload_bytes, p.d as payload_digest,
+  case when head is not null and page_id is distinct from head then 'revisit' else 'response' end as record_type,
+  case when head is not null and page_id is distinct from head then head end as refers_to
+from p left join g on p.d = g.d and p.n = g.n
+"""
