@@ -14,7 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 _own_dir: list[str] = []
 
 
+#: Bytes of one Arrow batch at most, so very long texts do not meet by the thousand.
+BATCH_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, mixing, quality, tokens, warc
+from . import binary, mixing, neardup, quality, tokens, warc
 from .common import scratch, table
 
 
@@ -46,3 +46,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(warc.with_records(table(spark, sf_dir, "pages")), path)
     merged = warc.merged_index(warc.read_archives(spark, path))
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near copies."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
