@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, mixing, neardup, quality, tokens, warc
+from . import binary, mixing, neardup, quality, repeats, tokens, warc
 from .common import scratch, table
 
 
@@ -51,3 +51,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's group of near copies."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share passages, with the passages' places and their first holders."""
+    return repeats.repeated_passages(table(spark, sf_dir, "documents"))
