@@ -10,10 +10,9 @@ from . import binary, mixing, neardup, quality, repeats, tokens, warc
 from .common import scratch, table
 
 
-def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of every document's ids and of the text that they decode to."""
-    coded = tokens.byte_bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return coded.select(
+def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the text that they decode to."""
+    return tokens.byte_bpe(docs, tokenizer).select(
         "doc_id",
         F.expr("cast(octet_length(ids_le) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids_le", 256).alias("ids_sha256"),
@@ -21,6 +20,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text that they decode to."""
+    return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of the line-first rules for every document."""
     judged = quality.line_first_rules(table(spark, sf_dir, "documents"))
