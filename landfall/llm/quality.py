@@ -126,6 +126,10 @@ def line_first_rules(docs: DataFrame, text: str = "text") -> DataFrame:
             "clean_text": F.when(F.col(f"`{text}`").isNotNull(), F.array_join("_good", "\n")),
         }
     )
+    # One-element explode: a filter on the verdict would else be pushed below the steps above, each step's
+    # expression then standing in the next one's lambdas.
+    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "_left"]
+    counted = counted.select(*[F.col(f"`{c}`") for c in source.columns], "clean_text", F.explode(F.array(F.struct(*measures))).alias("_m")).select("*", "_m.*")
     lost = F.col("word_chars") - F.col("_left")
     return (
         counted.withColumn("base_failed", (F.col("n_words") < BASE_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * BASE_REPEAT_PERCENT))
