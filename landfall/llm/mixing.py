@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
 from .quality import words_of
 
 WEIGHTS = (5, 2, 1)
@@ -57,30 +58,39 @@ def water_filling(
     A document's extra copy is taken while the middle of its words lies within what whole epochs leave of
     the target, in order of a seeded hash of its key, so a source misses its target by less than one
     document. A null text has size 0; a null source is a source of its own, last in order; rows with equal
-    keys count each for itself. Columns of docs with the name of an added one are replaced.
+    keys and sizes get equal copies. Columns of docs with the name of an added one are replaced.
 
-    The order is kept by buckets of the hash: sums of the buckets give each one's start, and only rows of
-    one bucket of one source are sorted together, so a large source is spread over many tasks.
+    What is taken of a source is a prefix of its seeded order, so one boundary a source decides. Sums over
+    buckets of the hash find the bucket that holds it, and only the rows of that bucket are put in order;
+    the documents themselves meet nothing but the table of boundaries, one row a source.
     """
     added = ["size", "source_size", "target", "copies", "taken"]
     base = docs.drop(*[c for c in docs.columns if c in added and c not in (key, text, source)])
     tag = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null"))))
-    sized = base.withColumns({"size": n_words(F.col(f"`{text}`")), "_tag": tag, "_source": F.col(f"`{source}`")}).withColumn("_bucket", F.substring("_tag", 1, BUCKET_DIGITS))
-    buckets = sized.groupBy("_source", "_bucket").agg(F.sum("size").alias("_n"))
+    sized = base.withColumns({"size": n_words(F.col(f"`{text}`")), "_tag": tag, "_source": F.col(f"`{source}`")})
+    narrow = stored(sized.select("_source", "_tag", "size", F.substring("_tag", 1, BUCKET_DIGITS).alias("_bucket")), "sizes")
+    buckets = narrow.groupBy("_source", "_bucket").agg(F.sum("size").alias("_n"))
     sizes = buckets.groupBy(F.col("_source").alias("source")).agg(F.sum("_n").alias("source_size"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
+    plan = targets(sizes, weights, max_epochs).withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")).alias("t")
+
     earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("b")
-    plan = targets(sizes, weights, max_epochs).alias("t")
-    known = starts.join(plan, F.col("b._source").eqNullSafe(F.col("t.source"))).select(
-        F.col("b._source").alias("_s"), F.col("_bucket").alias("_b"), "_start", "source_size", "target"
+    edges = starts.join(plan, F.col("b._source").eqNullSafe(F.col("t.source"))).filter((F.col("_start") <= F.col("extra")) & (F.col("_start") + F.col("_n") > F.col("extra")))
+    edge = edges.select(F.col("b._source").alias("_s"), F.col("_bucket").alias("_b"), "_start", "extra")
+    within = Window.partitionBy("_s", "_b").orderBy("_tag", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = narrow.join(edge, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn(
+        "_before", F.col("_start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     )
-    joined = sized.join(known, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    within = Window.partitionBy("_source", "_bucket").orderBy("_tag", "size").rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
+    taken = F.when(F.col("_before") * 2 + F.col("size") <= F.col("extra") * 2, F.struct("_tag", "size"))
+    bound = inside.groupBy("_s").agg(F.coalesce(F.max(taken), F.struct(F.min("_b").alias("_tag"), F.lit(-1).cast("bigint").alias("size"))).alias("_bound"))
+    # without an edge the rest of the target is nothing or all of the source
+    known = plan.join(bound, F.col("t.source").eqNullSafe(F.col("_s")), "left").select(F.col("t.source").alias("_from"), "source_size", "target", "whole", "extra", "_bound")
+    known = stored(known, "boundaries")
+    more = F.when(F.col("_bound").isNotNull(), F.struct("_tag", "size") <= F.col("_bound")).otherwise(F.col("extra") >= F.col("source_size")) & (F.col("extra") > 0)
     return (
-        joined.withColumns({"_whole": whole, "_before": F.col("_start") + F.coalesce(F.sum("size").over(within), F.lit(0))})
-        .withColumn("_extra", F.col("target") - F.col("_whole") * F.col("source_size"))
-        .withColumn("copies", F.col("_whole") + F.when(F.col("_before") * 2 + F.col("size") <= F.col("_extra") * 2, 1).otherwise(0))
+        sized.join(known, F.col("_source").eqNullSafe(F.col("_from")))
+        .withColumn("copies", F.col("whole") + F.when(more, 1).otherwise(0))
         .withColumn("taken", F.col("size") * F.col("copies"))
         .select(*[F.col(f"`{c}`") for c in base.columns], *added)
     )
