@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, mixing, neardup, quality, repeats, tokens, warc
+from . import binary, mixing, neardup, quality, repeats, tokens, vectors, warc
 from .common import scratch, table
 
 
@@ -60,3 +60,8 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share passages, with the passages' places and their first holders."""
     return repeats.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and group."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
