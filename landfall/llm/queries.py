@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary, mixing, neardup, quality, repeats, tokens, vectors, warc
+from . import binary, html, licenses, mixing, neardup, quality, repeats, tokens, vectors, warc
 from .common import scratch, table
 
 
@@ -65,3 +65,13 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's links and group."""
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that each document states, if any."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
