@@ -8,7 +8,9 @@ Bloom filters.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+from .tokens import byte_symbols
+
 #: Settings of the ORC writer.
 ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
@@ -26,7 +31,12 @@ ORC_OPTIONS = {
     "orc.stripe.size": str(64 << 20),
     "compression": "zlib",
 }
-CACHE = 500_000
+CACHE = 700_000
+#: The files' first places are broadcast up to this number of files, and joined by shuffle beyond.
+BROADCAST_FILES = 200_000
+#: The splitter's pattern with its letter, number and space classes written out for Latin-1.
+LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0A-Za-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_PLAIN = re.compile(r"[!-~]+")
 
 _tokenizers: dict[str, "ChunkEncoder"] = {}
 
@@ -35,30 +45,49 @@ class ChunkEncoder:
     """Ids of texts, with those of chunks between spaces remembered.
 
     Holds for tokenizers whose normalizer and splitter never join what a space parts, and that put no
-    space into a token.
+    space into a token. With ``latin`` the normalizer only lower-cases Latin-1 text and the splitter is
+    LATIN_PIECES on it: then new chunks of such characters go straight to the library's merge model.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, latin: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.latin = latin
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.symbols = byte_symbols()
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= CACHE:
+                self.pieces.clear()
+            spelled = piece if _PLAIN.fullmatch(piece) else "".join(map(self.symbols.__getitem__, piece.encode()))
+            found = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        if self.latin and "<|" not in chunk and (chunk.isascii() or max(chunk) <= "\xff"):
+            found = b"".join(map(self._piece, LATIN_PIECES.findall(chunk.lower())))
+        else:
+            found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        self.known[chunk] = found
+        return found
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
+        """The ids as 32-bit integers in the order of this machine's bytes."""
         chunks, known = text.split(" "), self.known
         try:
             return b"".join(map(known.__getitem__, chunks))
         except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            new = list({x for x in chunks if x not in known})
-            for chunk, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[chunk] = np.asarray(found.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, chunks))
+            return b"".join([found if (found := known.get(x)) is not None else self._chunk(x) for x in chunks])
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
@@ -79,7 +108,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str
             rows = [(encoder.encode(t) if t else b"") + end for t in batch.column(1).to_pylist()]
             sizes = np.array([len(r) // 4 for r in rows], np.int64)
             ends = np.cumsum(sizes)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<u4").astype(np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)))
             yield pa.record_batch(
                 [batch.column(0), ids, pa.array(sizes), pa.array(np.full(len(rows), part, np.int32)), pa.array(offset + ends - sizes)],
                 names=["doc_id", "ids", "n_tokens", "part", "offset"],
@@ -97,8 +126,9 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.orc(path)
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))  # one row a file
-    return rows.join(bases, "part").select("doc_id", "ids", (F.col("base") + F.col("offset")).alias("start"))
+    bases = stored(sums.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "bases")  # one row a file
+    few = bases.count() <= BROADCAST_FILES
+    return rows.join(F.broadcast(bases) if few else bases, "part").select("doc_id", "ids", (F.col("base") + F.col("offset")).alias("start"))
 
 
 def checksums(rows: DataFrame) -> DataFrame:
