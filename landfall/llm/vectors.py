@@ -8,6 +8,7 @@ ones are compared in full. Cosines are taken in double precision on the vectors
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ INTERVAL, LEAF = 1024, 128
 BLOCK = "block string, label string, cell0 bigint, cell1 bigint, low array<double>, high array<double>, rows int, ids binary, vectors binary, places binary"
 
 
-def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+def unit_rows(vectors: list) -> tuple[np.ndarray, list[np.ndarray]]:
     """Which vectors can link at all, and these at unit length."""
     fine, rows = [], []
     for v in vectors:
@@ -39,16 +40,18 @@ def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
         fine.append(norm > 0 and np.isfinite(norm))
         if fine[-1]:
             rows.append(x / norm)
-    return np.array(fine, bool), np.array(rows) if rows else np.zeros((0, 0))
+    return np.array(fine, bool), rows
 
 
 def principal(vectors: DataFrame) -> np.ndarray | None:
     """Leading directions of a bounded sample, taken in order of a hash of the ids."""
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
     _, rows = unit_rows([r[0] for r in sample])
-    if not len(rows):
+    if not rows:
         return None
-    _, _, directions = np.linalg.svd(rows - rows.mean(axis=0), full_matrices=False)
+    width = Counter(map(len, rows)).most_common(1)[0][0]  # vectors of other dimensions are placed at zero
+    same = np.array([r for r in rows if len(r) == width])
+    _, _, directions = np.linalg.svd(same - same.mean(axis=0), full_matrices=False)
     return directions[:BOX_DIMS].T
 
 
