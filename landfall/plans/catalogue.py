@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar, metrics
-from ..operators import checks, encoding, explore, landing, profile, splits
+from ..operators import checks, encoding, explore, landing, profile, quantile, splits
 from ..sources import ledger
 from . import oracles
 
 FLAGSHIP = "landing_baselines"
 STEPS = (1, 3, 5, 10, 15, 20)
-Y, FORECAST = F.col("landing").cast("double"), F.col("forecast").cast("double")
+
+
+def _landing() -> Column:
+    return F.col("landing").cast("double")
+
+
+def _forecast() -> Column:
+    return F.col("forecast").cast("double")
 
 
 class Tables:
@@ -52,6 +59,11 @@ class Tables:
         panel = self.usable
         return landing.with_folds(panel, landing.month_folds(panel)).filter("role = 'val'")
 
+    @property
+    def folded(self) -> DataFrame:
+        panel = self.usable
+        return encoding.CategoricalEncoder(("department",)).fit(self.daily).transform(landing.with_folds(panel, landing.month_folds(panel)))
+
     @property
     def quantiles(self) -> DataFrame:
         panel = self.usable
@@ -74,7 +86,7 @@ def _calendar(t: Tables) -> DataFrame:
 def _scores(t: Tables, *keys: str) -> DataFrame:
     long = landing.long_baselines(t.validation).filter("forecast is not null")
     grouped = long.groupBy("baseline", *keys)
-    return grouped.agg(F.count("*").alias("n"), F.round(metrics.wape(Y, FORECAST), 6).alias("wape"), F.round(metrics.bias(Y, FORECAST), 6).alias("bias"))
+    return grouped.agg(F.count("*").alias("n"), F.round(metrics.wape(_landing(), _forecast()), 6).alias("wape"), F.round(metrics.bias(_landing(), _forecast()), 6).alias("bias"))
 
 
 def _best(t: Tables) -> DataFrame:
@@ -95,7 +107,7 @@ def _fold_counts(t: Tables) -> DataFrame:
     return landing.with_folds(panel, landing.month_folds(panel)).groupBy("fold", "role").agg(F.count("*").alias("n"))
 
 
-def _pred(q: int) -> F.Column:
+def _pred(q: int) -> Column:
     return F.col(f"pred_q{q}")
 
 
@@ -141,11 +153,13 @@ QUERIES = {
         "month_folds": lambda t: landing.month_folds(t.usable),
         "step_folds": _step_folds,
         "fold_split_counts": _fold_counts,
-        "point_metrics": lambda t: t.quantiles.groupBy("fold").agg(*[F.round(c, 0 if n in ("mae", "rmse") else 4).alias(n) for n, c in metrics.point_bundle(Y, _pred(50)).items()]),
-        "pinball_metrics": lambda t: t.quantiles.groupBy("fold").agg(*[F.round(metrics.pinball(Y, _pred(q), q / 100), 0).alias(f"pinball_q{q}") for q in (10, 50, 90)]),
-        "interval_metrics": lambda t: t.quantiles.groupBy("fold").agg(F.round(metrics.coverage(Y, _pred(10), _pred(90)), 6).alias("interval_coverage"), F.lit(0.8).alias("interval_nominal")),
+        "point_metrics": lambda t: t.quantiles.groupBy("fold").agg(*[F.round(c, 0 if n in ("mae", "rmse") else 4).alias(n) for n, c in metrics.point_bundle(_landing(), _pred(50)).items()]),
+        "pinball_metrics": lambda t: t.quantiles.groupBy("fold").agg(*[F.round(metrics.pinball(_landing(), _pred(q), q / 100), 0).alias(f"pinball_q{q}") for q in (10, 50, 90)]),
+        "interval_metrics": lambda t: t.quantiles.groupBy("fold").agg(F.round(metrics.coverage(_landing(), _pred(10), _pred(90)), 6).alias("interval_coverage"), F.lit(0.8).alias("interval_nominal")),
         "empirical_quantile_forecast": lambda t: rounded(t.quantiles, 0),
         "forecast_noncrossing": lambda t: t.quantiles.groupBy("fold").agg(F.count_if((_pred(10) <= _pred(50)) & (_pred(50) <= _pred(90))).alias("ordered"), F.count("*").alias("n")),
+        "quantile_gbm_forecast": lambda t: rounded(quantile.forecasts(t.folded), 0),
+        "gbm_feature_importance": lambda t: quantile.feature_importance(t.folded),
         "encode_groups": _encoded,
         "check_yoy_wape": lambda t: checks.yoy_wape(t.fact),
         "check_churn_ratio": lambda t: checks.churn_ratio(t.fact),

