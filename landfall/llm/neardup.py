@@ -24,6 +24,8 @@ SHINGLE_WORDS = 5
 PERCENT = 85
 #: At 85 % a pair shares no band with a probability under one in a million.
 BANDS, ROWS = 30, 6
+#: A shingle that more documents hold than this is not used to pair them.
+HOT = 16
 
 _CHUNK = 1 << 16
 _WORDS = WordHashes()
@@ -91,6 +93,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array([shingles(t).tobytes() for t in text_bytes(batch.column(1))], pa.binary())], names=["node", "shingles"])
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+        for at in range(0, len(flat), 1 << 18):
+            yield pa.record_batch([pa.array(nodes[at : at + (1 << 18)]), pa.array(flat[at : at + (1 << 18)])], names=["node", "shingle"])
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = []
@@ -118,10 +129,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     component_id and is kept. Other columns of docs are not read.
 
     Equal sets fall together first, by a digest with partial aggregation, so groups of copies never meet.
-    Of each band's bucket every member is compared with its smallest one; what is then still apart within
-    a bucket is compared in pairs, except where sizes, or the triangle inequality through the smallest
-    member, show that no link can be. So every candidate pair is either tested, ruled out by a bound or
-    already in one component.
+    In each band's bucket every member is compared with the one that shares most buckets with others. For
+    what is then still apart, shingles held by more than HOT of these documents are set aside: the others
+    are counted for each pair through lists of at most HOT documents, and a pair is tested if that count
+    and the hot shingles together could make a link. Pairs that share hot shingles alone are tested where
+    both consist of these nearly throughout, and no bound through the bucket's head excludes them. So
+    every candidate pair is tested, ruled out by a bound or already in one component.
     """
     source = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = stored(source.mapInArrow(_signed, "doc_id bigint, n_shingles bigint, high bigint, low bigint, bands array<bigint>"), "signatures")
@@ -130,8 +143,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         "classes",
     )
     banded = classes.select("node", "n", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").select("key", "head")
-    members = stored(banded.join(buckets, "key"), "members")
+    buckets = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = stored(banded.join(buckets, "key"), "buckets")
+    reach = shared.groupBy("node").agg(F.sum("size").alias("reach"))
+    heads = shared.join(reach, "node").groupBy("key").agg(F.max_by("node", F.struct("reach", -F.col("node"))).alias("head"))
+    members = stored(shared.join(heads, "key"), "members")
     stars = members.filter("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y")).distinct()
     wanted = members.select("node").distinct()
     sets = stored(source.join(wanted, source.doc_id == wanted.node).select("node", "text").mapInArrow(_sets, "node bigint, shingles binary"), "sets")
@@ -144,18 +160,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     away = first.select(F.col("x").alias("node"), F.col("y").alias("head"), (1 - F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared"))).alias("far"))
     labelled = members.join(near, "node", "left").select("key", "node", "n", "head", F.coalesce("component", "node").alias("component"))
     split = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+    apart = stored(labelled.join(split, "key").join(away, ["node", "head"], "left").select("key", "node", "n", "head", "component", "far"), "apart")
+    nodes = apart.select("node", "n", "component").distinct()
+    single = stored(sets.join(nodes, "node").select("node", "shingles").mapInArrow(_exploded, "node bigint, shingle bigint"), "shingles")
+    held = single.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
+    tagged = stored(single.join(held, "shingle"), "tagged")
+    hot = tagged.filter(F.col("held") > HOT).groupBy("node").agg(F.count("*").alias("hot"))
+    weighed = stored(nodes.join(hot, "node", "left").select("node", "n", "component", F.coalesce("hot", F.lit(0)).alias("hot")), "weighed")
+    could = f"({{0}}) * {100 + percent} >= (n_x + n) * {percent} and least(n_x, n) * 100 >= greatest(n_x, n) * {percent} and component_x <> component"
+    right = tagged.filter(F.col("held") <= HOT).select("shingle", "node")
+    left = right.withColumnRenamed("node", "x")
+    counted = left.join(right, "shingle").filter("x < node").groupBy("x", "node").agg(F.count("*").alias("common"))
+    by_x = weighed.select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("hot").alias("hot_x"), F.col("component").alias("component_x"))
+    rare = counted.join(weighed, "node").join(by_x, "x").filter(could.format("common + least(hot_x, hot)")).select("x", F.col("node").alias("y"))
     width = 1 - percent / 100
-    apart = stored(
-        labelled.join(split, "key").join(away, ["node", "head"], "left").filter("node <> head").select("key", "node", "n", "component", "far", F.floor(F.col("far") / width).alias("cell")), "apart"
-    )
-    ours = apart.select(*[F.col(c).alias(f"{c}_x") for c in ("node", "n", "component", "far")], "key", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    rest = (
-        ours.join(apart, ["key", "cell"])
-        .filter((F.col("node_x") < F.col("node")) & (F.col("component_x") != F.col("component")) & (F.abs(F.col("far_x") - F.col("far")) <= width + 1e-9))
-        .filter(F.least("n_x", "n") * 100 >= F.greatest("n_x", "n") * percent)
+    full = apart.filter("node <> head").join(weighed.filter(f"hot * 100 >= n * {percent}").select("node", "hot"), "node").withColumn("cell", F.floor(F.col("far") / width))
+    ours = full.select(*[F.col(c).alias(f"{c}_x") for c in ("node", "n", "component", "far", "hot")], "key", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    alike = (
+        ours.join(full, ["key", "cell"])
+        .filter((F.col("node_x") < F.col("node")) & (F.abs(F.col("far_x") - F.col("far")) <= width + 1e-9))
+        .filter(could.format("least(hot_x, hot)"))
         .select(F.col("node_x").alias("x"), F.col("node").alias("y"))
-        .distinct()
     )
+    rest = rare.unionByName(alike).distinct()
     second = stored(_verified(rest, sets), "verified")
     more = second.filter(linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
     final = stored(connected_components(near.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
