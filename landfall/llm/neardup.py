@@ -150,7 +150,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     members = stored(shared.join(heads, "key"), "members")
     stars = members.filter("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y")).distinct()
     wanted = members.select("node").distinct()
-    sets = stored(source.join(wanted, source.doc_id == wanted.node).select("node", "text").mapInArrow(_sets, "node bigint, shingles binary"), "sets")
+    sets = stored(source.join(wanted.hint("merge"), source.doc_id == wanted.node).select("node", "text").mapInArrow(_sets, "node bigint, shingles binary"), "sets")
     first = stored(_verified(stars, sets), "verified")
     linked = F.expr(f"shared * 100 >= (nx + ny - shared) * {percent}")
     links = first.filter(linked).select(F.col("x").alias("u"), F.col("y").alias("v"))

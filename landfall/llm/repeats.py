@@ -24,6 +24,8 @@ GRAM_WORDS = 10
 REACH = MIN_WORDS - GRAM_WORDS + 1
 #: A gram with more suffixes than this is not sorted in one task: its windows are grouped by hash instead.
 HOT_ROWS = 50_000
+#: Documents and spans to cut are broadcast together up to this number, and joined by shuffle beyond.
+BROADCAST_SPANS = 500_000
 #: Suffixes that one sort takes at once, as far as grams stay whole.
 CHUNK_ROWS = 60_000
 
@@ -208,7 +210,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     anchors = stored(source.mapInArrow(_anchors, "key bigint, doc_id bigint, pos int"), "anchors")
     shared = anchors.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a <> b").select("key", (F.col("n") > hot_rows).alias("hot"))
     places = anchors.join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "hot")).alias("p")).select("doc_id", F.col("p.pos").alias("pos"), F.col("p.hot").alias("hot"))
-    suffixes = stored(source.join(places, "doc_id").select("doc_id", "text", "pos", "hot").mapInArrow(_suffixes, SUFFIX), "suffixes")
+    suffixes = stored(source.join(places.hint("merge"), "doc_id").select("doc_id", "text", "pos", "hot").mapInArrow(_suffixes, SUFFIX), "suffixes")
     cold = suffixes.filter("context is not null").select("key", "doc_id", "pos", "context", "after", "before")
     spans = cold.repartition("key").sortWithinPartitions("key", "context", "doc_id", "pos").mapInArrow(_matched, SPAN)
     hot = suffixes.filter("windows is not null").select("doc_id", "first_window", F.posexplode("windows").alias("i", "window"))
@@ -226,6 +228,8 @@ def without_passages(docs: DataFrame, found: DataFrame, key: str = "doc_id", tex
     The words left keep the white space around them. Columns and rows without passages stay as they are.
     """
     cuts = found.filter("n_removed > 0").select(F.col("doc_id").alias("_doc"), F.col("removed").alias("_removed"))
+    n, spans = cuts.agg(F.count("*"), F.coalesce(F.sum(F.size("_removed")), F.lit(0))).first()
+    cuts = F.broadcast(cuts) if n + spans <= BROADCAST_SPANS else cuts.hint("merge")
     names = [f.name for f in docs.schema]
     at = names.index(text)
 
