@@ -44,7 +44,7 @@ class PrefixEncoder:
     a piece carries (empty if the file has none).
     """
 
-    CACHE = 700_000
+    CACHE = 300_000
 
     def __init__(self, path: str):
         self.path = path
