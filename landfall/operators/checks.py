@@ -100,11 +100,12 @@ def report(fact: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def format_report(rows: list) -> str:
-    """Text of collected report rows: a reason follows each failed check."""
+    """Text of collected report rows: a reason follows each failed check; one without a value fails."""
     width = max(len(r["name"]) for r in rows)
     lines = []
     for r in rows:
-        lines.append(f"  {'OK' if r['passed'] else 'NG'}  {r['name'].ljust(width)}  {r['value']:g}")
-        if not r["passed"]:
+        value = "no value" if r["value"] is None else f"{r['value']:g}"
+        lines.append(f"  {'OK' if r['passed'] else 'NG'}  {r['name'].ljust(width)}  {value}")
+        if not r["passed"] and r["note"]:
             lines.append(f"      {r['note']}")
     return "\n".join(lines)
