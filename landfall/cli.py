@@ -1,4 +1,4 @@
-"""Command line: check-data, train-landing and profile over CSV files."""
+"""Command line: generate, check-data, train-landing and profile over CSV files."""
 
 from __future__ import annotations
 
@@ -14,11 +14,25 @@ from .config import Config, load_config
 from .functions import metrics
 from .operators import checks, encoding, landing, profile, quantile
 from .session import build_session, ship_package
-from .sources import ledger
+from .sources import generator, ledger
 
 REPORT_STEPS = (1, 3, 5, 10, 15, 20)
 
 
+def generate(spark: SparkSession, config: Config, out: str, force: bool) -> int:
+    """transactions, customers and anomaly_labels in out, then the checks of what was written."""
+    target = Path(out)
+    names = ("transactions", "customers", "anomaly_labels")
+    if not force and any((target / f"{n}.csv").exists() for n in names):
+        print(f"{out} holds a ledger; use --force", file=sys.stderr)
+        return 1
+    made = generator.generate(spark, config.ledger, config.seed)
+    orders = (("order_date", "order_no", "line_no"), ("customer_code",), ("order_no", "line_no"))
+    for name, df, keys in zip(names, made, orders):
+        ledger.write_csv(df.orderBy(*keys), str(target / f"{name}.csv"), force)
+    return check_data(spark, str(target / "transactions.csv"), str(target / "anomaly_labels.csv"))
+
+
 def check_data(spark: SparkSession, transactions: str, labels: str) -> int:
     fact = ledger.read_csv(spark, transactions)
     rows = checks.report(fact, ledger.read_csv(spark, labels, ledger.LABEL_SCHEMA)).collect()
@@ -77,6 +91,9 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="landfall")
     parser.add_argument("--config")
     commands = parser.add_subparsers(dest="command", required=True)
+    make = commands.add_parser("generate")
+    make.add_argument("out")
+    make.add_argument("--force", action="store_true")
     check = commands.add_parser("check-data")
     check.add_argument("transactions")
     check.add_argument("labels")
@@ -95,6 +112,8 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     spark = SparkSession.getActiveSession() or build_session(app="landfall")
     ship_package(spark)
+    if args.command == "generate":
+        return generate(spark, config, args.out, args.force)
     if args.command == "check-data":
         return check_data(spark, args.transactions, args.labels)
     if args.command == "train-landing":

@@ -7,6 +7,8 @@ from pathlib import Path
 
 import yaml
 
+from .sources.generator import LedgerConfig
+
 
 @dataclass(frozen=True)
 class LandingConfig:
@@ -27,6 +29,8 @@ class LandingConfig:
 @dataclass(frozen=True)
 class Config:
     landing: LandingConfig = field(default_factory=LandingConfig)
+    ledger: LedgerConfig = field(default_factory=LedgerConfig)
+    seed: int = 42
 
 
 def _known(kind: type, data: dict, where: str) -> dict:
@@ -43,7 +47,8 @@ def load_config(path: str | None = None) -> Config:
     if not file.exists():
         raise FileNotFoundError(file)
     data = _known(Config, yaml.safe_load(file.read_text()) or {}, "the configuration")
+    made = LedgerConfig(**_known(LedgerConfig, data.get("ledger") or {}, "ledger"))
     section = dict(_known(LandingConfig, data.get("landing") or {}, "landing"))
     if "quantiles" in section:
         section["quantiles"] = tuple(section["quantiles"])
-    return Config(LandingConfig(**section))
+    return Config(LandingConfig(**section), made, int(data.get("seed", 42)))

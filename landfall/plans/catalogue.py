@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar, metrics
 from ..operators import checks, encoding, explore, landing, profile, quantile, splits
-from ..sources import ledger
+from ..sources import generator, ledger
 from . import oracles
 
 FLAGSHIP = "landing_baselines"
@@ -29,7 +29,12 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.fact = ledger.sales(spark, sf_dir)
+
+    @property
+    def fact(self) -> DataFrame:
+        if not hasattr(self, "_fact"):
+            self._fact = ledger.sales(self.spark, self.sf_dir)
+        return self._fact
 
     @property
     def labels(self) -> DataFrame:
@@ -185,6 +190,9 @@ QUERIES = {
         "numeric_summary": lambda t: profile.numeric_summary(t.fact.select("quantity", "discount", "amount")),
         "low_cardinality_values": lambda t: profile.low_cardinality_values(t.fact, ["department", "product", "category", "customer_area"]),
         "date_span": lambda t: profile.date_span(t.fact, ["order_date"]),
+        "generated_ledger": lambda t: generator.generate(t.spark).transactions,
+        "generated_customers": lambda t: generator.generate(t.spark).customers,
+        "generated_labels": lambda t: generator.generate(t.spark).anomaly_labels,
         "duplicate_rows": lambda t: profile.duplicate_rows(t.table("lineitem").select("l_orderkey", "l_linenumber")),
     }.items()
 }

@@ -36,13 +36,24 @@ def test_train_landing(files):
     assert cli.main(["train-landing", str(files / "sales"), out]) == 1
 
 
+def test_generate(tmp_path, capsys):
+    settings = tmp_path / "small.yaml"
+    settings.write_text("seed: 7\nledger: {start: 2023-01-01, end: 2023-04-30, n_customers: 15, reps_per_department: 2}\n")
+    args = ["--config", str(settings), "generate", str(tmp_path / "out")]
+    assert cli.main(args) in (0, 1)  # four months cannot meet every check
+    assert "below_cost" in capsys.readouterr().out
+    assert all((tmp_path / "out" / f"{n}.csv").exists() for n in ("transactions", "customers", "anomaly_labels"))
+    assert cli.main(args) == 1 and "--force" in capsys.readouterr().err
+    assert cli.main([*args, "--force"]) in (0, 1)
+
+
 def test_config(tmp_path):
     with pytest.raises(FileNotFoundError):
         load_config(str(tmp_path / "none.yaml"))
     good = tmp_path / "good.yaml"
     good.write_text("landing:\n  n_folds: 2\n  quantiles: [0.2, 0.5, 0.8]\n")
     assert load_config(str(good)).landing.quantiles == (0.2, 0.5, 0.8)
-    for text in ("other: {}\n", "landing: {foo: 1}\n", "landing: {n_folds: 0}\n", "landing: {quantiles: [0.1]}\n", "landing: {grid_end: never}\n"):
+    for text in ("other: {}\n", "landing: {foo: 1}\n", "landing: {n_folds: 0}\n", "landing: {quantiles: [0.1]}\n", "landing: {grid_end: never}\n", "ledger: {foo: 1}\n", "ledger: {end: 2020-01-01}\n", "ledger: {churn_ratio: 0.9}\n"):
         good.write_text(text)
         with pytest.raises(ValueError):
             load_config(str(good))
