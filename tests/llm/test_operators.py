@@ -196,6 +196,16 @@ def test_wrappers():
     assert "(h1)?" in html.align(a, b)
 
 
+def test_html_slots_of_the_wrapper(spark):
+    """The same text at the same element path is template in one slot and article in another."""
+    body = [f"<article>{'<p>Read our guide</p>' * (i != 5)}<h2>Title {i}</h2><p>{'Read our guide' if i == 3 else f'Only here {i}'}</p>{'<p>and here X</p>'.replace('X', str(i)) * (i % 2)}</article>" for i in range(24)]
+    rows = [(i, "http://k.example.com/", b) for i, b in enumerate(body)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[3].split("\n")[-2:] == ["Read our guide", "and here 3"] and got[5] == "Title 5\nOnly here 5\nand here 5"
+    wrapper = html.align(html.fold(html.parse(body[2])[0]), html.fold(html.parse(body[5])[0]))
+    assert wrapper.count("((p # /p)+)?") + wrapper.count("(p # /p)+") >= 1
+
+
 def test_token_files(spark, docs, none):
     path = common.scratch(spark, "ids")
     binary.write_ids(docs, path, WORD, end_id=2)
