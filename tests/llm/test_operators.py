@@ -206,6 +206,21 @@ def test_html_slots_of_the_wrapper(spark):
     assert wrapper.count("((p # /p)+)?") + wrapper.count("(p # /p)+") >= 1
 
 
+def test_html_keeps_what_articles_share(spark):
+    """Copies of one article on most pages, and headings that most but not all articles share, stay whole; outside articles what every page has goes."""
+    copy = "<article><h1>News</h1><p>The same article</p></article>"
+    rows = [(i, "http://c.example.com/", f"<div>{i}</div><nav>{i}</nav>{copy}") for i in range(12)]
+    rows += [(20 + i, "http://c.example.com/", f"<article><h1>News</h1><p>Another {i}</p></article>") for i in range(8)]
+    rows += [(40 + i, "http://m.example.com/", f"<article><h1>{'News' if i else 'First'}</h1><p>Text {i}</p></article>") for i in range(20)]
+    rows += [(60 + i, "http://p.example.com/", f"<h1>Site</h1><div>Text {i}</div>" + "<ul><li>a<li>b</ul>" * (i % 2)) for i in range(40)]
+    rows += [(100 + i, "http://q.example.com/", f"<article><p>Read our guide</p><h2>Title {i}</h2><p>{f'Only here {i}' if i else 'Read our guide'}</p></article>") for i in range(12)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[100] == "Title 0\nRead our guide" and got[101] == "Title 1\nOnly here 1"
+    assert all(got[i] == "News\nThe same article" for i in range(12)) and got[20] == "News\nAnother 0"
+    assert got[41] == "News\nText 1" and got[40] == "First\nText 0"
+    assert got[60] == "Text 0" and got[61] == "Text 1"
+
+
 def test_token_files(spark, docs, none):
     path = common.scratch(spark, "ids")
     binary.write_ids(docs, path, WORD, end_id=2)
