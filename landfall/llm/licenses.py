@@ -1,22 +1,29 @@
 """Licence scans: normalised texts compared with licence templates by the Dice coefficient of word bigrams.
 
-The units compared are the whole document and each of its lines. A template can only match a unit whose
-number of bigrams lies within the bounds that the threshold sets, which rules out most units at once.
+The units compared are all runs of consecutive words, so a notice is found inside a line, over several lines
+or as the whole text. A template can only match a run whose number of bigrams, and of bigrams that both have,
+lies within the bounds that the threshold sets, which rules out most runs at once; none is left to chance.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from heapq import heappop, heappush
+from itertools import islice
+from math import ceil, floor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
+
 #: Units from this coefficient on match a template.
 DICE = 0.8
-#: Notices by which texts state their licence. More templates can be given as a parameter.
+#: Notices by which texts state their licence, and full texts. More templates can be given as a parameter.
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
         "Released under the MIT License.",
@@ -38,6 +45,7 @@ TEMPLATES: dict[str, list[str]] = {
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+TEMPLATES = {name: [*notices, *([TEXTS[name]] if name in TEXTS else [])] for name, notices in TEMPLATES.items()}
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 COPYRIGHT = re.compile(r"^\W*(?:copyright|\(c\)|©).*$", re.I | re.M)
 
@@ -59,6 +67,14 @@ class Scanner:
         self.templates = [(name, grams, sum(grams.values())) for name, texts in templates.items() for grams in map(bigrams, texts)]
         self.low = min((n for _, _, n in self.templates), default=0) * threshold / (2 - threshold)
         self.high = max((n for _, _, n in self.templates), default=0) * (2 - threshold) / threshold
+        bound = threshold / (2 - threshold)
+        self.least = [ceil(n * bound - 1e-9) for _, _, n in self.templates]
+        self.widest = [floor(n / bound + 1e-9) for _, _, n in self.templates]
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        for k, (_, grams, _) in enumerate(self.templates):
+            for gram in grams:
+                self.holders.setdefault(gram, []).append(k)
+        self.single = any(not b for _, b in self.holders)
 
     def best(self, text: str) -> tuple[float, str] | None:
         """The best template of one unit, the first by name of equal ones."""
@@ -74,22 +90,127 @@ class Scanner:
         found = [x for x in found if x[0] >= self.threshold]
         return min(found, key=lambda x: (-x[0], x[1])) if found else None
 
+    def _best_runs(self, k: int, at: list[int], grams: list[tuple[str, str]]) -> tuple[float, list[tuple[int, int]]]:
+        """The coefficient of the best runs of words for a template, and first and last bigram of such runs that do not overlap.
+
+        Only bigrams of the template are given: a best run begins and ends with one. Beginnings are taken
+        by what the widest run from there has of the template, until that cannot beat the best.
+        """
+        _, need, n = self.templates[k]
+        least, widest = self.least[k], self.widest[k]
+        begins: list[tuple[int, int]] = []
+        have = dict.fromkeys(need, 0)
+        common = end = 0
+        for a, first in enumerate(at):
+            while end < len(at) and at[end] < first + widest:
+                have[grams[end]] += 1
+                common += have[grams[end]] <= need[grams[end]]
+                end += 1
+            if common >= least:
+                begins.append((-common, a))
+            common -= have[grams[a]] <= need[grams[a]]
+            have[grams[a]] -= 1
+        begins.sort()
+        best, runs = self.threshold, []
+        for most, a in begins:
+            if 2.0 * -most / (n - most) < best:
+                break
+            if runs and at[a] <= runs[-1][1] and 2.0 * -most / (n - most) <= best:
+                continue
+            have, common = {}, 0
+            for b in range(a, len(at)):
+                size = at[b] - at[a] + 1
+                if size > widest:
+                    break
+                have[grams[b]] = seen = have.get(grams[b], 0) + 1
+                common += seen <= need[grams[b]]
+                if common >= least and (score := 2.0 * common / (size + n)) >= best:
+                    if score > best:
+                        best, runs = score, [(at[a], at[b])]
+                    elif not runs or at[a] > runs[-1][1]:
+                        runs.append((at[a], at[b]))
+        return best, runs
+
+    def _runs(self, text: str) -> Iterator[tuple[str, float, int]]:
+        """License, coefficient and line (0: all words) of each licence's best run of the text's words, best first.
+
+        Words count for one licence: a run that overlaps a better one is none, and its template is compared
+        with what the better ones leave.
+        """
+        words = WORD.findall(text)
+        holders = self.holders
+        hits = [(i, g) for i, g in enumerate(zip(words, words[1:])) if g in holders]
+        if self.single:
+            hits += [(i, g) for i, g in enumerate((w, "") for w in words) if g in holders]
+        at: dict[int, list[tuple[int, tuple[str, str]]]] = {}
+        for hit in hits:
+            for k in holders[hit[1]]:
+                at.setdefault(k, []).append(hit)
+        begins, ends = [], []  # words of the runs taken, in order
+        queue: list[tuple] = []
+        named: set[str] = set()
+
+        def search(k: int, part: list[tuple[int, tuple[str, str]]]) -> None:
+            """Queue the best runs of each piece that no taken run and no gap too wide for a match parts."""
+            gap = self.widest[k] - self.least[k] + 1
+            piece: list[tuple[int, tuple[str, str]]] = []
+            before = None
+            for hit in [*part, None]:
+                if hit:
+                    reach = hit[0] + bool(hit[1][1])
+                    side = bisect_right(begins, reach)
+                    if side and ends[side - 1] >= hit[0]:
+                        continue
+                if piece and (not hit or side != before or hit[0] - piece[-1][0] > gap):
+                    if len(piece) >= self.least[k]:
+                        score, runs = self._best_runs(k, [i for i, _ in piece], [g for _, g in piece])
+                        if runs:
+                            heappush(queue, (-score, self.templates[k][0], runs[0][0], k, runs, piece))
+                    piece = []
+                if hit:
+                    piece.append(hit)
+                    before = side
+
+        for k, part in at.items():
+            if len(part) >= self.least[k]:
+                search(k, part)
+        while queue:
+            score, name, _, k, runs, piece = heappop(queue)
+            wide = bool(piece[0][1][1])
+            for first, last in runs:
+                side = bisect_right(begins, last + wide)
+                if side and ends[side - 1] >= first:
+                    continue
+                begins.insert(side, first)
+                ends.insert(side, last + wide)
+                if name in named:
+                    continue
+                named.add(name)
+                whole = first == 0 and last + wide == len(words) - 1
+                yield name, -score, 0 if whole else text.count("\n", 0, next(islice(WORD.finditer(text), first, None)).start()) + 1
+            search(k, piece)
+
     def scan(self, text: str | None) -> list[tuple[str, float, int]]:
-        """License, coefficient and line (0: the whole text) of the best match of each licence."""
+        """License, coefficient and first line (0: the whole text) of the best match of each licence.
+
+        Lines that look like a copyright are left out, and once more kept, as a notice can wrap to such a
+        line or stand on it.
+        """
         if not text:
             return []
-        lines = text.split("\n")
+        bare = COPYRIGHT.sub(lambda m: " " + "\n" * m[0].count("\n"), text)
         hits: dict[str, tuple[float, int]] = {}
-        for at, unit in enumerate([text, *lines] if len(lines) > 1 else [text]):
-            if (found := self.best(unit)) and (found[1] not in hits or hits[found[1]][0] < found[0]):
-                hits[found[1]] = (found[0], at)
+        for variant in [bare] if bare == text else [bare, text]:
+            for name, score, at in self._runs(variant.casefold()):
+                if name not in hits or (-score, at) < (-hits[name][0], hits[name][1]):
+                    hits[name] = (score, at)
         return [(name, score, at) for name, (score, at) in sorted(hits.items())]
 
 
 def license_scan(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, threshold: float = DICE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, license (best match or null), dice (double, 0 without one), line (bigint) and n_licenses for every row.
 
-    Whole texts and all lines are scanned. Null and empty texts match nothing; ties go to the name that
+    All runs of words are scanned; line is where the best one begins, 0 if it is the whole text. Null and empty texts match nothing; ties go to the name that
     comes first; rows stand for themselves, whatever their key; other columns are not read.
     """
     source = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -116,6 +117,31 @@ def test_licenses(docs, none, spark):
     assert licenses.license_scan(none).count() == 0
 
 
+def test_licenses_in_any_run_of_words():
+    """Wrapped over lines, inside a line and as a full text; the best run is that of brute force."""
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.DICE)
+    assert scanner.scan("This project is released under the MIT License.")[0] == ("MIT", 1.0, 1)
+    assert scanner.scan("© 2020 A. Person. Licensed under CC BY 4.0.")[0][0] == "CC-BY-4.0"
+    for name, text in licenses.TEXTS.items():
+        lines = textwrap.wrap(text, 70, break_on_hyphens=False)
+        for prefix in ("", " * ", "# "):
+            full = "\n".join(["A file.", "Copyright (c) 2020 A. Person", "", *(prefix + line for line in lines), "", "And then other words."])
+            (score, at), = [(s, at) for n, s, at in scanner.scan(full) if n == name]
+            assert score > 0.97 and at == 4, name
+    for name, notices in licenses.TEMPLATES.items():
+        wrapped = "Some words before it. " + notices[0] + " And words after."
+        assert (name, 1.0, 2) in scanner.scan("First.\n" + "\n# ".join(textwrap.wrap(wrapped, 30, break_on_hyphens=False)).replace("\n", " ", 1)), name
+    rng = random.Random(6)
+    small = {"A": ["a b c d e"], "B": ["a b a b c a b", "d d d"], "C": ["e"]}
+    scanner = licenses.Scanner(small, 0.7)
+    for _ in range(300):
+        text = rng.choices("abcdef", k=rng.randrange(1, 25))
+        runs = {" ".join(text[i:j]) for i in range(len(text)) for j in range(i + 1, len(text) + 1)}
+        best = min((-licenses.dice(licenses.bigrams(u), licenses.bigrams(t)), n) for u in runs for n, ts in small.items() for t in ts)
+        found = min(((-s, n) for n, s, _ in scanner.scan(" ".join(text))), default=(0.0, None))
+        assert found == (best if best[0] <= -0.7 else (0.0, None))
+
+
 def test_vectors_is_brute_force(spark):
     rng = np.random.default_rng(5)
     centre = rng.normal(size=(6, 16))
