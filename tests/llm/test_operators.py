@@ -247,6 +247,14 @@ def test_html_keeps_what_articles_share(spark):
     assert got[60] == "Text 0" and got[61] == "Text 1"
 
 
+def test_html_names_inside_the_article():
+    """Inside an article only whole names count, never ids of headings, and its own header keeps its headings."""
+    page = """<div class="site-header"><h1>Site</h1></div><article class="post-with-sidebar"><header><nav><h2>Menu</h2></nav><h1>Title <b>one</b></h1>May 1</header>
+<div class="entry-header"><h1>Title two</h1></div><div class="big header"><h3 class="header">Title three</h3><p>By me</p></div><h2 id="related-work">Related work</h2><h2 id="comments">On comments</h2>
+<section id="notice-period"><p>A month</p></section><table class="form-factor"><tr><td>Small</table><div class="x share">Share</div><div id="comments"><h2>Said</h2></div><div class="ad">Buy</div><p>End</p></article>"""
+    assert html.main_text(page, frozenset()).split("\n") == ["Title one", "Title two", "Title three", "Related work", "On comments", "A month", "Small", "End"]
+
+
 def test_token_files(spark, docs, none):
     path = common.scratch(spark, "ids")
     binary.write_ids(docs, path, WORD, end_id=2)
