@@ -11,12 +11,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 LINE = "\r\n"
@@ -28,6 +31,8 @@ REVISIT_BYTES = 1000
 RECORDS_A_FILE = 2000
 #: Seconds since 1970 of the capture with id 0, for tables without a capture time.
 FIRST_CAPTURE = 1_577_836_800
+#: Rows sampled for each bound between the ranges of the index.
+SAMPLE_A_RANGE = 20
 
 RECORD_FIELDS = "page_id bigint, url string, captured string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary, archive string, offset bigint"
 
@@ -171,16 +176,35 @@ class LoserTree:
             self.champion = run
 
 
+def _place(row: Sequence) -> tuple:
+    """URL key, time and page, comparable with a null page first."""
+    return row[0], row[1], row[2] is not None, row[2] or 0
+
+
 def merged_index(records: DataFrame) -> DataFrame:
     """The records' index in global order of URL key, time and page, with each capture's place in its history.
 
-    An archive is a sorted run. The runs meet in tasks that own a range of keys (a large URL key is cut by
+    An archive is a sorted run. The runs meet in tasks that own ranges of keys (a large URL key is cut by
     time and page too), where a loser tree merges them; ``previous`` is the page captured before under the
-    same key in the same range. Only index fields move, never payloads.
+    same key. The bounds of the ranges are fixed first, so that a task knows the last capture before its
+    own from a table with one row a range. Only index fields move, never payloads.
     """
-    index = records.select(url_key(F.col("url")).alias("url_key"), "captured", "page_id", "record_type", "payload_digest", "payload_bytes", "refers_to", "archive", "offset")
+    index = stored(records.select(url_key(F.col("url")).alias("url_key"), "captured", "page_id", "record_type", "payload_digest", "payload_bytes", "refers_to", "archive", "offset"), "index")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema)
-    ranged = index.repartitionByRange("url_key", "captured", "page_id").sortWithinPartitions("archive", "url_key", "captured", "page_id", "offset")
+    ranges = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = max(index.count(), 1)
+    sampled = sorted(map(_place, index.select("url_key", "captured", "page_id").sample(min(1.0, ranges * SAMPLE_A_RANGE / rows), 1).collect()))
+    bounds = sorted({sampled[len(sampled) * k // ranges] for k in range(1, ranges)}) if sampled else []
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [bisect_right(bounds, _place(row)) for row in zip(*(batch.column(k).to_pylist() for k in range(3)))]
+            yield batch.append_column("part", pa.array(parts, pa.int32()))
+
+    parted = index.mapInArrow(dealt, f"{fields}, part int")
+    last = sorted((r.part, r.last.url_key, r.last.page_id) for r in parted.groupBy("part").agg(F.max(F.struct("url_key", "captured", "page_id")).alias("last")).collect())
+    ends = [part for part, _, _ in last]
+    ranged = parted.repartitionByRange("part").sortWithinPartitions("archive", "url_key", "captured", "page_id", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[str, list[tuple]] = {}
@@ -192,13 +216,15 @@ def merged_index(records: DataFrame) -> DataFrame:
         if schema is None:
             return
         out, before = [], None
-        schema = schema.append(pa.field("previous", pa.int64()))
+        schema = schema.remove(schema.get_field_index("part")).append(pa.field("previous", pa.int64()))
 
         def packed(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         for row in LoserTree([iter(r) for r in runs.values()], lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[8])):
-            out.append((*row, before[2] if before and before[0] == row[0] else None))
+            if before is None and (k := bisect_left(ends, row[-1])):
+                before = (last[k - 1][1], None, last[k - 1][2])
+            out.append((*row[:-1], before[2] if before and before[0] == row[0] else None))
             before = row
             if len(out) == 8192:
                 yield packed(out)

@@ -190,6 +190,26 @@ def test_warc(spark):
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_warc_histories_over_ranges(spark):
+    """Each capture knows the one before, whatever range that is in."""
+    df = spark.createDataFrame([(i, f"http://{'hot' if i % 4 else f'h{i % 40}'}.example.com/", f"page {i}") for i in range(400)] + [(None, "http://hot.example.com/", "x")], "page_id bigint, url string, html string")
+    path = common.scratch(spark, "warc")
+    warc.write_archives(warc.with_records(df.repartition(5)), path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = warc.merged_index(warc.read_archives(spark, path))
+        got = index.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.task for r in got}) > 1 and len(got) == 401
+    before = None
+    for r in got:
+        assert r.previous == (before.page_id if before and before.url_key == r.url_key else None)
+        before = r
+    keys = [(r.url_key, r.captured, r.page_id is not None, r.page_id or 0) for r in got]
+    assert keys == sorted(keys)
+
+
 def test_loser_tree():
     rng = random.Random(4)
     for k in range(0, 9):
