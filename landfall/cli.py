@@ -81,7 +81,7 @@ def train_landing(spark: SparkSession, config: Config, transactions: str, out: s
     if model:
         rows = encoding.CategoricalEncoder(("department",)).fit(panel).transform(panel).withColumn("target", landing.training_target())
         features = landing.feature_columns(rows)
-        frame = rows.select("target", *features).toPandas()  # a row a department and business day
+        frame = rows.select("target", *features).toPandas().sort_values(["target", *features])  # a row a department and business day
         quantile.save({q: quantile.QuantileGBM(q, features).fit(frame, frame["target"].to_numpy()) for q in cfg.quantiles}, model)
     print(f"model WAPE {report['overall']['model']['wape']:.4f}, best baseline {report['best_baseline']} {report['overall'][report['best_baseline']]['wape']:.4f}")
     return 0

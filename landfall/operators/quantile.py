@@ -1,8 +1,9 @@
 """Quantile regression by boosted histogram trees, one model a fold and quantile.
 
-Trees are grown on the pinball gradient and their leaves set to the quantile of the residuals, so there is
-no randomness. Models are fitted in parallel, one Arrow group each; a group is one fold of the panel, which
-has a row a department and business day.
+Trees are grown on the pinball gradient and their leaves set to the quantile of the residuals. Rows and
+columns are drawn for every tree from a fixed seed; the queries sort a model's rows first, so results repeat.
+Models are fitted in parallel, one Arrow group each; a group is one fold of the panel, which has a row a
+department and business day.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from .landing import QUANTILES, feature_columns, training_target
 
 FORMAT_VERSION = 1
-ROUNDS, RATE, DEPTH, MIN_LEAF, BINS = 80, 0.08, 4, 20, 32
+#: The reference's hyper-parameters; BINS is our own.
+ROUNDS, RATE, LEAVES, MIN_LEAF, ROW_SHARE, COLUMN_SHARE, SEED, BINS = 300, 0.05, 15, 30, 0.9, 0.8, 42, 32
 
 
 @dataclass
@@ -42,45 +44,49 @@ class QuantileGBM:
         binned = np.stack([np.where(np.isnan(c), 0, np.searchsorted(e, c, side="right") + 1) for c, e in zip(x.T, edges)], axis=1)
         self.start = float(np.quantile(target, self.quantile))
         guess = np.full(len(target), self.start)
+        draw = np.random.default_rng(SEED)
         for _ in range(ROUNDS):
             residual = target - guess
-            tree, leaf = self._tree(binned, np.where(residual > 0, self.quantile, self.quantile - 1.0), edges)
-            for node, rows in leaf.items():
-                tree[node]["value"] = RATE * float(np.quantile(residual[rows], self.quantile))
-                guess[rows] += tree[node]["value"]
+            rows = np.sort(draw.choice(len(target), max(1, int(len(target) * ROW_SHARE)), replace=False))
+            columns = np.sort(draw.choice(len(edges), max(1, round(len(edges) * COLUMN_SHARE)), replace=False))
+            tree, leaf = self._tree(binned, np.where(residual > 0, self.quantile, self.quantile - 1.0), edges, rows, columns)
+            for node, held in leaf.items():
+                tree[node]["value"] = RATE * float(np.quantile(residual[held], self.quantile))
+            guess += self._values(tree, x)
             self.trees.append(tree)
         return self
 
-    def _tree(self, binned: np.ndarray, gradient: np.ndarray, edges: list[np.ndarray]) -> tuple[list[dict], dict[int, np.ndarray]]:
+    def _tree(self, binned: np.ndarray, gradient: np.ndarray, edges: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> tuple[list[dict], dict[int, np.ndarray]]:
+        """A tree of LEAVES leaves at most, grown where a split gains most."""
         nodes: list[dict] = [{}]
-        leaves: dict[int, np.ndarray] = {}
-        todo = [(0, np.arange(len(gradient)), 0)]
-        while todo:
-            node, rows, depth = todo.pop()
-            best = self._split(binned[rows], gradient[rows], edges) if depth < DEPTH and len(rows) >= 2 * MIN_LEAF else None
-            if best is None:
-                leaves[node] = rows
-                continue
-            feature, cut = best
+        leaves: dict[int, np.ndarray] = {0: rows}
+        found = {0: self._split(binned[rows], gradient[rows], edges, columns)}
+        while len(leaves) < LEAVES and any(found.values()):
+            node = max((n for n in found if found[n]), key=lambda n: (found[n][2], -n))
+            feature, cut, _ = found.pop(node)
+            rows = leaves.pop(node)
             left = binned[rows, feature] <= cut
             nodes[node] |= {"feature": feature, "cut": None if cut == 0 else float(edges[feature][cut - 1]), "left": len(nodes), "right": len(nodes) + 1}
             self.splits[self.features[feature]] = self.splits.get(self.features[feature], 0) + 1
-            todo += [(len(nodes), rows[left], depth + 1), (len(nodes) + 1, rows[~left], depth + 1)]
-            nodes += [{}, {}]
+            for part in (rows[left], rows[~left]):
+                leaves[len(nodes)] = part
+                found[len(nodes)] = self._split(binned[part], gradient[part], edges, columns) if len(part) >= 2 * MIN_LEAF else None
+                nodes.append({})
         return nodes, leaves
 
     @staticmethod
-    def _split(binned: np.ndarray, gradient: np.ndarray, edges: list[np.ndarray]) -> tuple[int, int] | None:
+    def _split(binned: np.ndarray, gradient: np.ndarray, edges: list[np.ndarray], columns: np.ndarray) -> tuple[int, int, float] | None:
         total, n = gradient.sum(), len(gradient)
         best, gain = None, 1e-9
-        for j, e in enumerate(edges):
-            size = len(e) + 2
+        for j in map(int, columns):
+            size = len(edges[j]) + 2
             g, c = np.cumsum(np.bincount(binned[:, j], gradient, size))[:-1], np.cumsum(np.bincount(binned[:, j], minlength=size))[:-1]
             fine = (c >= MIN_LEAF) & (n - c >= MIN_LEAF)
             if fine.any():
                 score = np.where(fine, g**2 / np.maximum(c, 1) + (total - g) ** 2 / np.maximum(n - c, 1) - total**2 / n, 0.0)
                 if score.max() > gain:
-                    best, gain = (j, int(score.argmax())), score.max()
+                    gain = float(score.max())
+                    best = (j, int(score.argmax()), gain)
         return best
 
     def predict(self, frame: pd.DataFrame) -> np.ndarray:
@@ -89,17 +95,19 @@ class QuantileGBM:
         x = self._matrix(frame)
         out = np.full(len(x), self.start)
         for tree in self.trees:
-            at = np.zeros(len(x), np.int64)
-            for _ in range(DEPTH):
-                for node in np.unique(at):
-                    if "feature" in tree[node]:
-                        rows = np.flatnonzero(at == node)
-                        value, cut = x[rows, tree[node]["feature"]], tree[node]["cut"]
-                        left = np.isnan(value) if cut is None else np.isnan(value) | (value < cut)
-                        at[rows] = np.where(left, tree[node]["left"], tree[node]["right"])
-            out += np.array([t.get("value", 0.0) for t in tree])[at]
+            out += self._values(tree, x)
         return out
 
+    @staticmethod
+    def _values(tree: list[dict], x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), np.int64)
+        for node, split in enumerate(tree):  # children come after their parents
+            if "feature" in split and len(rows := np.flatnonzero(at == node)):
+                value, cut = x[rows, split["feature"]], split["cut"]
+                left = np.isnan(value) if cut is None else np.isnan(value) | (value < cut)
+                at[rows] = np.where(left, split["left"], split["right"])
+        return np.array([t.get("value", 0.0) for t in tree])[at]
+
 
 def importance(models: dict[float, QuantileGBM], quantile: float) -> list[tuple[str, int]]:
     """Split counts, most first; KeyError for a quantile without a model."""
@@ -134,6 +142,7 @@ def forecasts(folded: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> Da
     each = rows.withColumn("q", F.explode(F.array(*[F.lit(q) for q in quantiles])))
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["department", "month", "step"])
         train, val = group[group["role"] == "train"], group[group["role"] == "val"]
         model = QuantileGBM(float(group["q"].iloc[0]), features).fit(train, train["target"].to_numpy())
         return val[["fold", "department", "month", "step", "landing", "cum_amount", "prev_year", "q"]].assign(value=model.predict(val))
@@ -150,6 +159,7 @@ def feature_importance(folded: DataFrame, quantiles: tuple[float, ...] = QUANTIL
     each = rows.withColumn("q", F.explode(F.array(*[F.lit(q) for q in quantiles])))
 
     def counted(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["department", "month", "step"])
         q = float(group["q"].iloc[0])
         model = QuantileGBM(q, features).fit(group, group["target"].to_numpy())
         return pd.DataFrame([(int(group["fold"].iloc[0]), q, name, n) for name, n in importance({q: model}, q)], columns=["fold", "q", "feature", "splits"])

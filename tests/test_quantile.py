@@ -24,6 +24,16 @@ def test_quantiles_hold(toy):
     assert np.abs(models[0.5].predict(frame) - target).mean() < np.abs(np.median(target) - target).mean() / 2
 
 
+def test_models_have_the_size_of_the_reference(toy):
+    frame, target, models = toy
+    for model in models.values():
+        assert len(model.trees) == 300
+        leaves = [sum("value" in node for node in tree) for tree in model.trees]
+        assert max(leaves) == 15
+    again = quantile.QuantileGBM(0.5, ["a", "b"]).fit(frame, target)
+    assert np.array_equal(again.predict(frame), models[0.5].predict(frame))
+
+
 def test_contract(toy, tmp_path):
     frame, _, models = toy
     with pytest.raises(RuntimeError):
