@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,16 @@ def quantile_bundle(y: Column, forecasts: Mapping[float, Column]) -> dict[str, C
     low, high = min(forecasts), max(forecasts)
     out = point_bundle(y, forecasts[0.5]) | {f"pinball_q{round(q * 100)}": pinball(y, f, q) for q, f in sorted(forecasts.items())}
     return out | {"interval_coverage": coverage(y, forecasts[low], forecasts[high]), "interval_nominal": F.lit(round(high - low, 10))}
+
+
+def evaluate(df: DataFrame, metrics: Mapping[str, Column], y: Column, *forecasts: Column) -> dict[str, float | None]:
+    """The metrics of a whole table; ValueError if it has no rows, or rows in which not all of y and forecasts stand."""
+    whole = y.isNotNull()
+    for f in forecasts:
+        whole = whole & f.isNotNull()
+    row = df.agg(F.count("*").alias("_n"), F.count_if(~whole).alias("_broken"), *[c.alias(n) for n, c in metrics.items()]).first()
+    if not row["_n"]:
+        raise ValueError("nothing to evaluate")
+    if row["_broken"]:
+        raise ValueError(f"{row['_broken']} of {row['_n']} rows lack a value or a forecast")
+    return {n: row[n] for n in metrics}

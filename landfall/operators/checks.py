@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
+
 #: Bounds within which a ledger is fit for forecasting.
 YOY_WAPE, CHURN, ANOMALY, LARGE = (0.15, 0.25), (0.10, 0.25), (0.003, 0.02), (0.005, 0.03)
 MIN_ORDERS_PER_CUSTOMER_MONTH = 1.0
@@ -17,11 +21,12 @@ def _month() -> Column:
 
 
 def _one(df: DataFrame, name: str, value: Column, passed: Column) -> DataFrame:
-    return df.select(F.lit(name).alias("name"), F.round(value.cast("double"), 6).alias("value")).withColumn("passed", passed)
+    """The bound is held against the value itself; what is shown is rounded."""
+    return df.select(value.cast("double").alias("raw")).select(F.lit(name).alias("name"), F.round("raw", 6).alias("value"), passed.alias("passed"))
 
 
 def _within(bounds: tuple[float, float]) -> Column:
-    return F.col("value").between(*bounds)
+    return F.col("raw").between(*bounds)
 
 
 def monthly_with_last_year(fact: DataFrame) -> DataFrame:
@@ -54,7 +59,8 @@ def anomaly_rate(fact: DataFrame, labels: DataFrame) -> DataFrame:
 
 def large_deal_share(fact: DataFrame) -> DataFrame:
     positive = fact.filter("amount > 0")
-    middle = F.broadcast(positive.agg(F.median("amount").alias("middle")))
+    amounts = positive.select(F.lit("amount").alias("column"), F.col("amount").cast("double").alias("v"))
+    middle = F.broadcast(exact_quantiles(amounts, (0.5,)).select(F.col("value").alias("middle")))  # one row
     share = positive.crossJoin(middle).agg(F.avg((F.col("amount") > F.col("middle") * LARGE_TIMES).cast("double")).alias("v"))
     return _one(share, "large_deal_share", F.col("v"), _within(LARGE))
 
@@ -62,14 +68,14 @@ def large_deal_share(fact: DataFrame) -> DataFrame:
 def empty_department_months(fact: DataFrame) -> DataFrame:
     sold = F.when(F.col("quantity") > 0, F.struct("department", _month()))
     holes = fact.agg((F.count_distinct(_month()) * F.count_distinct("department") - F.count_distinct(sold)).alias("v"))
-    return _one(holes, "empty_department_months", F.col("v"), F.col("value") == 0)
+    return _one(holes, "empty_department_months", F.col("v"), F.col("raw") == 0)
 
 
 def orders_per_customer_month(fact: DataFrame) -> DataFrame:
     rate = fact.agg(
         F.try_divide(F.count_distinct(F.when(F.col("quantity") > 0, F.col("order_no"))), F.count_distinct("customer_code") * F.count_distinct(_month())).alias("v")
     )
-    return _one(rate, "orders_per_customer_month", F.col("v"), F.col("value") >= MIN_ORDERS_PER_CUSTOMER_MONTH)
+    return _one(rate, "orders_per_customer_month", F.col("v"), F.col("raw") >= MIN_ORDERS_PER_CUSTOMER_MONTH)
 
 
 def unlabelled(fact: DataFrame, labels: DataFrame) -> DataFrame:
@@ -78,11 +84,18 @@ def unlabelled(fact: DataFrame, labels: DataFrame) -> DataFrame:
 
 def below_cost(fact: DataFrame, labels: DataFrame) -> DataFrame:
     rows = unlabelled(fact, labels).filter("quantity > 0 and profit < 0").agg(F.count("*").alias("v"))
-    return _one(rows, "below_cost", F.col("v"), F.col("value") == 0)
+    return _one(rows, "below_cost", F.col("v"), F.col("raw") == 0)
+
+
+#: What the checks read of a ledger.
+COLUMNS = ("order_no", "line_no", "order_date", "customer_code", "department", "quantity", "amount", "profit")
 
 
 def report(fact: DataFrame, labels: DataFrame) -> DataFrame:
-    """All seven checks; note says what is expected where one fails."""
+    """All seven checks; note says what is expected where one fails.
+
+    The checks read fact several times, so pass a written or kept one with COLUMNS.
+    """
     checks = [
         (yoy_wape(fact), f"between {YOY_WAPE[0]} and {YOY_WAPE[1]}"),
         (churn_ratio(fact), f"between {CHURN[0]} and {CHURN[1]}"),
@@ -99,13 +112,23 @@ def report(fact: DataFrame, labels: DataFrame) -> DataFrame:
     return out
 
 
-def format_report(rows: list) -> str:
+#: How values are shown: as percentages, with so many digits, or as plain numbers.
+PERCENT = {"yoy_wape": 1, "churn_ratio": 1, "anomaly_rate": 2, "large_deal_share": 2}
+
+
+def shown(name: str, value: float | None) -> str:
+    if value is None:
+        return "no value"
+    return f"{value:.{PERCENT[name]}%}" if name in PERCENT else f"{value:g}"
+
+
+def format_report(rows: list, remarks: Mapping[str, str] = {}) -> str:
     """Text of collected report rows: a reason follows each failed check; one without a value fails."""
     width = max(len(r["name"]) for r in rows)
     lines = []
     for r in rows:
-        value = "no value" if r["value"] is None else f"{r['value']:g}"
-        lines.append(f"  {'OK' if r['passed'] else 'NG'}  {r['name'].ljust(width)}  {value}")
+        remark = f" ({remarks[r['name']]})" if r["name"] in remarks else ""
+        lines.append(f"  {'OK' if r['passed'] else 'NG'}  {r['name'].ljust(width)}  {shown(r['name'], r['value'])}{remark}")
         if not r["passed"] and r["note"]:
             lines.append(f"      {r['note']}")
     return "\n".join(lines)

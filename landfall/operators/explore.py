@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import wape
+from ..shared import stored
 from .checks import CHURN_DAYS, last_orders, monthly_with_last_year
 
 #: Key sets from fine to coarse.
@@ -24,10 +25,11 @@ def trailing_mean(column: str, rows: int, order: Window) -> Column:
 
 
 def granularity_ladder(fact: DataFrame, rows: int = 5) -> DataFrame:
-    """level, n_series, wape of a trailing mean over observed days, for each key set."""
+    """level, n_series, wape of a trailing mean over observed days, for each key set; fact is read once."""
     out = []
+    finest = stored(fact.groupBy("sales_rep", "department", "product", "order_date").agg(F.sum("amount").alias("amount")), "ladder")
     for level, keys in LADDER:
-        series = fact.groupBy(*keys, "order_date").agg(F.sum("amount").alias("amount"))
+        series = finest.groupBy(*keys, "order_date").agg(F.sum("amount").alias("amount"))
         guessed = series.withColumn("forecast", trailing_mean("amount", rows, Window.partitionBy(*keys).orderBy("order_date"))).filter("forecast is not null")
         n = F.count_distinct(*keys) if keys else F.lit(1).cast("bigint")
         out.append(guessed.agg(n.alias("n_series"), F.round(wape(F.col("amount"), F.col("forecast")), 6).alias("wape")).select(F.lit(level).alias("level"), "n_series", "wape"))
@@ -35,7 +37,8 @@ def granularity_ladder(fact: DataFrame, rows: int = 5) -> DataFrame:
 
 
 def monthly_naive_scores(fact: DataFrame) -> DataFrame:
-    """WAPE of three predictors of the company's months."""
+    """WAPE of three predictors of the company's months; fact is read once."""
+    fact = stored(fact.groupBy("order_date").agg(F.sum("amount").alias("amount")), "days")
     months = fact.groupBy(F.trunc("order_date", "MM").alias("month")).agg(F.sum("amount").alias("amount"))
     recent = months.withColumn("f", trailing_mean("amount", 3, Window.orderBy("month"))).filter("f is not null").select(F.lit("mean3").alias("method"), "amount", "f")
     yoy = monthly_with_last_year(fact)
@@ -57,12 +60,13 @@ def ceiling_of(product: Column, ceilings: dict[str, float] = CEILINGS) -> Column
     return F.coalesce(F.try_element_at(table, product), F.raise_error(F.concat(F.lit("unknown product "), product)))
 
 
-def churn_signals(fact: DataFrame) -> DataFrame:
-    """Last days of churned customers against the time before."""
-    target = fact.filter("quantity > 0").join(churned_customers(fact), "customer_code")
+def churn_signals(fact: DataFrame, ceilings: dict[str, float] = CEILINGS) -> DataFrame:
+    """Last days of churned customers against the time before; fact is read once."""
+    fact = stored(fact.filter("quantity > 0").select("customer_code", "order_date", "discount", "product", "quantity"), "positive")
+    target = fact.join(churned_customers(fact), "customer_code")
     late = F.col("order_date") > F.date_sub("last_order", LATE_DAYS)
     return (
-        target.withColumns({"late": late, "pressure": F.col("discount") / ceiling_of(F.col("product"))}).groupBy("late")
+        target.withColumns({"late": late, "pressure": F.col("discount") / ceiling_of(F.col("product"), ceilings)}).groupBy("late")
         .agg(F.count("*").alias("n_lines"), F.round(F.avg("pressure"), 4).alias("discount_pressure"), F.round(F.avg("quantity"), 1).alias("mean_quantity"))
     )
 
