@@ -21,10 +21,14 @@ def daily_by_department(fact: DataFrame) -> DataFrame:
 
 
 def daily_with_company(fact: DataFrame) -> DataFrame:
-    """Both levels in one pass; distinct counts of the company are counted anew, not added up."""
+    """Both levels in one pass; distinct counts of the company are counted anew, not added up.
+
+    Lines are summed to orders first, and only these are counted at both levels.
+    """
     require(fact, ("department", "order_date", "amount", "order_no", "customer_code"))
+    orders = fact.groupBy("department", "order_date", "order_no", "customer_code").agg(F.sum("amount").alias("amount"))
     level = F.grouping("department")
-    sets = fact.groupingSets([["department", "order_date"], ["order_date"]], "department", "order_date").agg(
+    sets = orders.groupingSets([["department", "order_date"], ["order_date"]], "department", "order_date").agg(
         level.alias("level"), F.sum("amount").alias("amount"), F.count_distinct("order_no").alias("orders"), F.count_distinct("customer_code").alias("customers")
     )
     return sets.select(F.when(F.col("level") == 1, COMPANY).otherwise(F.col("department")).alias("department"), "order_date", "amount", "orders", "customers")

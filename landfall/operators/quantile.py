@@ -1,7 +1,8 @@
 """Quantile regression by boosted histogram trees, one model a fold and quantile.
 
-Trees are grown on the pinball gradient and their leaves set to the quantile of the residuals. Rows and
-columns are drawn for every tree from a fixed seed; the queries sort a model's rows first, so results repeat.
+Trees are grown on the pinball gradient and their leaves set to the quantile of the residuals. Codes of
+categories are split into sets, whatever their order: categories are put in order of their mean gradient
+and cut there. Rows and columns are drawn for every tree from a fixed seed; the queries sort a model's rows first, so results repeat.
 Models are fitted in parallel, one Arrow group each; a group is one fold of the panel, which has a row a
 department and business day.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .landing import QUANTILES, feature_columns, training_target
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 #: The reference's hyper-parameters; BINS is our own.
 ROUNDS, RATE, LEAVES, MIN_LEAF, ROW_SHARE, COLUMN_SHARE, SEED, BINS = 300, 0.05, 15, 30, 0.9, 0.8, 42, 32
 
@@ -32,6 +33,11 @@ class QuantileGBM:
     trees: list[list[dict]] = field(default_factory=list)
     splits: dict[str, int] = field(default_factory=dict)
 
+    @property
+    def categories(self) -> frozenset[int]:
+        """Features that hold codes of categories."""
+        return frozenset(j for j, name in enumerate(self.features) if is_code(name))
+
     def _matrix(self, frame: pd.DataFrame) -> np.ndarray:
         missing = [c for c in self.features if c not in frame]
         if missing:
@@ -40,7 +46,13 @@ class QuantileGBM:
 
     def fit(self, frame: pd.DataFrame, target: np.ndarray) -> QuantileGBM:
         x = self._matrix(frame)
-        edges = [np.unique(np.nanquantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if np.isfinite(c).any() else np.zeros(0) for c in x.T]
+        x = np.array(x)
+        for j in self.categories:
+            x[:, j] = np.nan_to_num(x[:, j], nan=-1)
+        edges = [
+            np.arange(max(c.max(initial=-1), -1) + 1) if j in self.categories else np.unique(np.nanquantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if np.isfinite(c).any() else np.zeros(0)
+            for j, c in enumerate(x.T)
+        ]
         binned = np.stack([np.where(np.isnan(c), 0, np.searchsorted(e, c, side="right") + 1) for c, e in zip(x.T, edges)], axis=1)
         self.start = float(np.quantile(target, self.quantile))
         guess = np.full(len(target), self.start)
@@ -65,8 +77,13 @@ class QuantileGBM:
             node = max((n for n in found if found[n]), key=lambda n: (found[n][2], -n))
             feature, cut, _ = found.pop(node)
             rows = leaves.pop(node)
-            left = binned[rows, feature] <= cut
-            nodes[node] |= {"feature": feature, "cut": None if cut == 0 else float(edges[feature][cut - 1]), "left": len(nodes), "right": len(nodes) + 1}
+            if feature in self.categories:
+                left = np.isin(binned[rows, feature], cut)
+                nodes[node] |= {"feature": feature, "codes": [int(c) - 2 for c in cut]}
+            else:
+                left = binned[rows, feature] <= cut
+                nodes[node] |= {"feature": feature, "cut": None if cut == 0 else float(edges[feature][cut - 1])}
+            nodes[node] |= {"left": len(nodes), "right": len(nodes) + 1}
             self.splits[self.features[feature]] = self.splits.get(self.features[feature], 0) + 1
             for part in (rows[left], rows[~left]):
                 leaves[len(nodes)] = part
@@ -74,19 +91,25 @@ class QuantileGBM:
                 nodes.append({})
         return nodes, leaves
 
-    @staticmethod
-    def _split(binned: np.ndarray, gradient: np.ndarray, edges: list[np.ndarray], columns: np.ndarray) -> tuple[int, int, float] | None:
+    def _split(self, binned: np.ndarray, gradient: np.ndarray, edges: list[np.ndarray], columns: np.ndarray) -> tuple[int, int | np.ndarray, float] | None:
+        """Feature, bin (or set of a category's bins) that goes left, and gain of the best split."""
         total, n = gradient.sum(), len(gradient)
         best, gain = None, 1e-9
         for j in map(int, columns):
             size = len(edges[j]) + 2
-            g, c = np.cumsum(np.bincount(binned[:, j], gradient, size))[:-1], np.cumsum(np.bincount(binned[:, j], minlength=size))[:-1]
+            sums, counts = np.bincount(binned[:, j], gradient, size), np.bincount(binned[:, j], minlength=size)
+            order = np.arange(size)
+            if j in self.categories:
+                order = np.flatnonzero(counts)
+                order = order[np.argsort(sums[order] / counts[order], kind="stable")]
+            g, c = np.cumsum(sums[order])[:-1], np.cumsum(counts[order])[:-1]
             fine = (c >= MIN_LEAF) & (n - c >= MIN_LEAF)
             if fine.any():
                 score = np.where(fine, g**2 / np.maximum(c, 1) + (total - g) ** 2 / np.maximum(n - c, 1) - total**2 / n, 0.0)
                 if score.max() > gain:
                     gain = float(score.max())
-                    best = (j, int(score.argmax()), gain)
+                    at = int(score.argmax())
+                    best = (j, order[: at + 1] if j in self.categories else at, gain)
         return best
 
     def predict(self, frame: pd.DataFrame) -> np.ndarray:
@@ -103,32 +126,54 @@ class QuantileGBM:
         at = np.zeros(len(x), np.int64)
         for node, split in enumerate(tree):  # children come after their parents
             if "feature" in split and len(rows := np.flatnonzero(at == node)):
-                value, cut = x[rows, split["feature"]], split["cut"]
-                left = np.isnan(value) if cut is None else np.isnan(value) | (value < cut)
+                value, cut = x[rows, split["feature"]], split.get("cut")
+                if "codes" in split:
+                    left = np.isin(np.nan_to_num(value, nan=-1), split["codes"])
+                else:
+                    left = np.isnan(value) if cut is None else np.isnan(value) | (value < cut)
                 at[rows] = np.where(left, split["left"], split["right"])
         return np.array([t.get("value", 0.0) for t in tree])[at]
 
 
+def is_code(name: str) -> bool:
+    """Whether a feature holds codes of categories."""
+    return name.startswith("feat_") and name.endswith("_code")
+
+
 def importance(models: dict[float, QuantileGBM], quantile: float) -> list[tuple[str, int]]:
-    """Split counts, most first; KeyError for a quantile without a model."""
-    return sorted(models[quantile].splits.items(), key=lambda x: (-x[1], x[0]))
+    """Split counts of all features, most first; KeyError for a quantile without a model."""
+    if quantile not in models:
+        raise KeyError(f"no model of quantile {quantile}, only of {sorted(models)}")
+    model = models[quantile]
+    return sorted(((f, model.splits.get(f, 0)) for f in model.features), key=lambda x: (-x[1], x[0]))
+
+
+@dataclass
+class Artifact:
+    """What a forecast needs later on: the models, the codes of categories (as plain data) and what there is to know of their training."""
+
+    models: dict[float, QuantileGBM]
+    codes: dict = field(default_factory=dict)
+    metadata: dict = field(default_factory=dict)
 
 
-def save(models: dict[float, QuantileGBM], folder: str) -> None:
+def save(artifact: Artifact, folder: str) -> None:
     Path(folder).mkdir(parents=True, exist_ok=True)
-    Path(folder, "model.json").write_text(json.dumps({"format_version": FORMAT_VERSION, "models": [vars(m) for m in models.values()]}))
+    data = {"format_version": FORMAT_VERSION, "models": [vars(m) for m in artifact.models.values()], "codes": artifact.codes, "metadata": artifact.metadata}
+    Path(folder, "model.json").write_text(json.dumps(data, ensure_ascii=False, default=str))
 
 
-def load(folder: str) -> dict[float, QuantileGBM]:
+def load(folder: str) -> Artifact:
+    """FileNotFoundError without a file, ValueError for one that holds something else or has another format."""
     file = Path(folder, "model.json")
     if not file.exists():
-        raise FileNotFoundError(file)
+        raise FileNotFoundError(f"{file} does not exist; train a model first")
     data = json.loads(file.read_text())
     if not isinstance(data, dict) or "models" not in data:
-        raise TypeError(f"{file} holds no model")
+        raise ValueError(f"{file} holds no model")
     if data.get("format_version") != FORMAT_VERSION:
-        raise ValueError(f"format {data.get('format_version')}, expected {FORMAT_VERSION}")
-    return {m["quantile"]: QuantileGBM(**m) for m in data["models"]}
+        raise ValueError(f"format {data.get('format_version')}, expected {FORMAT_VERSION}; train the model again")
+    return Artifact({m["quantile"]: QuantileGBM(**m) for m in data["models"]}, data["codes"], data["metadata"])
 
 
 def _prepared(folded: DataFrame) -> tuple[DataFrame, list[str]]:
