@@ -26,8 +26,19 @@ class LandingConfig:
             raise ValueError("grid_end is data or month_end")
 
 
+@dataclass(frozen=True)
+class Paths:
+    """Where commands read and write if they are not told."""
+
+    raw_dir: str = "data/raw"
+    processed_dir: str = "data/processed"
+    model_dir: str = "models"
+    reports_dir: str = "reports"
+
+
 @dataclass(frozen=True)
 class Config:
+    paths: Paths = field(default_factory=Paths)
     landing: LandingConfig = field(default_factory=LandingConfig)
     ledger: LedgerConfig = field(default_factory=LedgerConfig)
     seed: int = 42
@@ -40,10 +51,14 @@ def _known(kind: type, data: dict, where: str) -> dict:
     return data
 
 
+#: Read if no file is named and this one exists.
+DEFAULT_FILE = "conf/config.yaml"
+
+
 def load_config(path: str | None = None) -> Config:
-    if path is None:
+    if path is None and not Path(DEFAULT_FILE).exists():
         return Config()
-    file = Path(path)
+    file = Path(path or DEFAULT_FILE)
     if not file.exists():
         raise FileNotFoundError(file)
     data = _known(Config, yaml.safe_load(file.read_text()) or {}, "the configuration")
@@ -51,4 +66,5 @@ def load_config(path: str | None = None) -> Config:
     section = dict(_known(LandingConfig, data.get("landing") or {}, "landing"))
     if "quantiles" in section:
         section["quantiles"] = tuple(section["quantiles"])
-    return Config(LandingConfig(**section), made, int(data.get("seed", 42)))
+    paths = Paths(**{k: str(v) for k, v in _known(Paths, data.get("paths") or {}, "paths").items()})
+    return Config(paths, LandingConfig(**section), made, int(data.get("seed", 42)))

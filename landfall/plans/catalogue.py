@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, metrics
 from ..operators import checks, encoding, explore, landing, profile, quantile, splits
+from ..shared import stored
 from ..sources import generator, ledger
 from . import oracles
 
@@ -30,48 +32,54 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    @property
+    @cached_property
     def fact(self) -> DataFrame:
-        if not hasattr(self, "_fact"):
-            self._fact = ledger.sales(self.spark, self.sf_dir)
-        return self._fact
+        return ledger.sales(self.spark, self.sf_dir)
 
     @property
     def labels(self) -> DataFrame:
         return ledger.anomaly_labels(self.fact)
 
-    @property
+    @cached_property
+    def checked(self) -> DataFrame:
+        """What the checks and labels read of the ledger, written once for all of them."""
+        return stored(self.fact.select(*checks.COLUMNS, "discount", "tax"), "checked")
+
+    @cached_property
     def daily(self) -> DataFrame:
-        """Kept in memory with spill: later steps read it several times, and it has a row a group and day."""
-        if not hasattr(self, "_daily"):
-            self._daily = landing.daily_with_company(self.fact).persist()
-        return self._daily
+        """Written once: later steps read it several times, and it has a row a group and day."""
+        return stored(landing.daily_with_company(self.fact), "daily")
 
-    @property
+    @cached_property
     def panel(self) -> DataFrame:
         return landing.dense_panel(self.daily)
 
-    @property
+    @cached_property
     def built(self) -> DataFrame:
         return landing.build(self.daily)
 
+    @cached_property
+    def kept(self) -> DataFrame:
+        """The usable rows, written once for the folds and what is scored in them."""
+        return stored(self.usable, "usable")
+
     @property
     def usable(self) -> DataFrame:
         return landing.usable(self.built)
 
     @property
     def validation(self) -> DataFrame:
-        panel = self.usable
+        panel = self.kept
         return landing.with_folds(panel, landing.month_folds(panel)).filter("role = 'val'")
 
     @property
     def folded(self) -> DataFrame:
-        panel = self.usable
-        return encoding.CategoricalEncoder(("department",)).fit(self.daily).transform(landing.with_folds(panel, landing.month_folds(panel)))
+        panel = self.kept
+        return encoding.encode(landing.with_folds(panel, landing.month_folds(panel)), encoding.fit_codes(self.daily, ("department",)))
 
     @property
     def quantiles(self) -> DataFrame:
-        panel = self.usable
+        panel = self.kept
         return landing.empirical_quantiles(landing.with_folds(panel, landing.month_folds(panel)))
 
     def table(self, name: str) -> DataFrame:
@@ -108,7 +116,7 @@ def _step_folds(t: Tables) -> DataFrame:
 
 
 def _fold_counts(t: Tables) -> DataFrame:
-    panel = t.usable
+    panel = t.kept
     return landing.with_folds(panel, landing.month_folds(panel)).groupBy("fold", "role").agg(F.count("*").alias("n"))
 
 
@@ -119,10 +127,14 @@ def _pred(q: int) -> Column:
 def _encoded(t: Tables) -> DataFrame:
     groups = t.daily.select("department").distinct()
     unseen = t.spark.createDataFrame([("no such department",)], "department string")
-    return encoding.CategoricalEncoder(("department",)).fit(groups).transform(groups.unionByName(unseen))
+    return encoding.encode(groups.unionByName(unseen), encoding.fit_codes(groups, ("department",)))
 
 
-PROFILED = ("order_no", "line_no", "order_date", "department", "product", "quantity", "discount", "amount")
+def _coded_dimensions(t: Tables) -> DataFrame:
+    """How many customers and products have codes, and whether these are 0, 1, 2 and so on in order of the values."""
+    codes = encoding.fit_codes(t.fact, ("customer_code", "product"))
+    last = F.lag("value").over(Window.partitionBy("column", F.floor(F.col("code") / 1000)).orderBy("code"))
+    return codes.rows.withColumn("last", last).groupBy("column").agg(F.count("*").alias("n"), F.max("code").alias("highest"), F.count_distinct("code").alias("n_codes"), F.count_if(F.col("last") >= F.col("value")).alias("n_disordered"))
 
 
 def _query(build: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -160,12 +172,14 @@ QUERIES = {
         "fold_split_counts": _fold_counts,
         "point_metrics": lambda t: t.quantiles.groupBy("fold").agg(*[F.round(c, 0 if n in ("mae", "rmse") else 4).alias(n) for n, c in metrics.point_bundle(_landing(), _pred(50)).items()]),
         "pinball_metrics": lambda t: t.quantiles.groupBy("fold").agg(*[F.round(metrics.pinball(_landing(), _pred(q), q / 100), 0).alias(f"pinball_q{q}") for q in (10, 50, 90)]),
+        "quantile_metrics": lambda t: t.quantiles.groupBy("fold").agg(*[F.round(c, 0 if n.startswith(("mae", "rmse", "pinball")) else 4).alias(n) for n, c in metrics.quantile_bundle(_landing(), {q / 100: _pred(q) for q in (10, 50, 90)}).items()]),
         "interval_metrics": lambda t: t.quantiles.groupBy("fold").agg(F.round(metrics.coverage(_landing(), _pred(10), _pred(90)), 6).alias("interval_coverage"), F.lit(0.8).alias("interval_nominal")),
         "empirical_quantile_forecast": lambda t: rounded(t.quantiles, 0),
         "forecast_noncrossing": lambda t: t.quantiles.groupBy("fold").agg(F.count_if((_pred(10) <= _pred(50)) & (_pred(50) <= _pred(90))).alias("ordered"), F.count("*").alias("n")),
         "quantile_gbm_forecast": lambda t: rounded(quantile.forecasts(t.folded), 0),
         "gbm_feature_importance": lambda t: quantile.feature_importance(t.folded),
         "encode_groups": _encoded,
+        "encode_customers_products": _coded_dimensions,
         "check_yoy_wape": lambda t: checks.yoy_wape(t.fact),
         "check_churn_ratio": lambda t: checks.churn_ratio(t.fact),
         "check_anomaly_rate": lambda t: checks.anomaly_rate(t.fact, t.labels),
@@ -173,7 +187,7 @@ QUERIES = {
         "check_empty_department_months": lambda t: checks.empty_department_months(t.fact),
         "check_orders_per_customer_month": lambda t: checks.orders_per_customer_month(t.fact),
         "check_below_cost": lambda t: checks.below_cost(t.fact, t.labels),
-        "check_report": lambda t: checks.report(t.fact, t.labels),
+        "check_report": lambda t: checks.report(t.checked, ledger.anomaly_labels(t.checked)),
         "granularity_ladder": lambda t: explore.granularity_ladder(t.fact),
         "monthly_naive_scores": lambda t: explore.monthly_naive_scores(t.fact),
         "churned_customers": lambda t: explore.churned_customers(t.fact),
@@ -186,14 +200,14 @@ QUERIES = {
         "first_months_extract": lambda t: ledger.first_months(t.fact).select("order_no", "line_no", "order_date", "amount"),
         "legacy_series_summary": lambda t: explore.series_summary(t.fact, landing.grid_of(t.daily)),
         "weekday_order_counts": lambda t: explore.weekday_order_counts(t.fact),
-        "column_profile": lambda t: profile.column_profile(t.fact.select(*PROFILED)),
-        "numeric_summary": lambda t: profile.numeric_summary(t.fact.select("quantity", "discount", "amount")),
-        "low_cardinality_values": lambda t: profile.low_cardinality_values(t.fact, ["department", "product", "category", "customer_area"]),
-        "date_span": lambda t: profile.date_span(t.fact, ["order_date"]),
+        "column_profile": lambda t: profile.column_profile(t.fact),
+        "numeric_summary": lambda t: profile.numeric_summary(t.fact),
+        "low_cardinality_values": lambda t: profile.low_cardinality_values(t.fact),
+        "date_span": lambda t: profile.date_span(t.fact),
         "generated_ledger": lambda t: generator.generate(t.spark).transactions,
         "generated_customers": lambda t: generator.generate(t.spark).customers,
         "generated_labels": lambda t: generator.generate(t.spark).anomaly_labels,
-        "duplicate_rows": lambda t: profile.duplicate_rows(t.table("lineitem").select("l_orderkey", "l_linenumber")),
+        "duplicate_rows": lambda t: profile.duplicate_rows(t.table("lineitem")),
     }.items()
 }
 

@@ -121,6 +121,7 @@ fold_split_counts = _FOLDS + "select fold, role, count(*) as n from folded group
 point_metrics = _QUANTS + """select fold, round(sum(abs(pred_q50 - landing)) / nullif(sum(abs(landing)), 0), 4) as wape, round(avg(abs(pred_q50 - landing)), 0) as mae, round(sqrt(avg((pred_q50 - landing) * (pred_q50 - landing))), 0) as rmse,
   round(avg(case when abs(landing) + abs(pred_q50) > 0 then abs(pred_q50 - landing) * 2 / (abs(landing) + abs(pred_q50)) end), 4) as smape, round(sum(pred_q50 - landing) / nullif(sum(landing), 0), 4) as bias from preds group by fold"""
 pinball_metrics = _QUANTS + "select fold, " + ", ".join(f"round(avg(greatest((landing - pred_q{q}) * {q / 100}, (landing - pred_q{q}) * ({q / 100} - 1))), 0) as pinball_q{q}" for q in (10, 50, 90)) + " from preds group by fold"
+quantile_metrics = point_metrics.replace(" from preds group by fold", ", " + ", ".join(f"round(avg(greatest((landing - pred_q{q}) * {q / 100}, (landing - pred_q{q}) * ({q / 100} - 1))), 0) as pinball_q{q}" for q in (10, 50, 90)) + ", round(avg(cast(landing between pred_q10 and pred_q90 as double)), 4) as interval_coverage, cast(0.8 as double) as interval_nominal from preds group by fold")
 interval_metrics = _QUANTS + "select fold, round(avg(cast(landing between pred_q10 and pred_q90 as double)), 6) as interval_coverage, cast(0.8 as double) as interval_nominal from preds group by fold"
 empirical_quantile_forecast = _QUANTS + "select fold, department, month, step, landing, round(pred_q10, 0) as pred_q10, round(pred_q50, 0) as pred_q50, round(pred_q90, 0) as pred_q90 from preds"
 forecast_noncrossing = _QUANTS + "select fold, count(*) filter (pred_q10 <= pred_q50 and pred_q50 <= pred_q90) as ordered, count(*) as n from preds group by fold"
@@ -130,20 +131,20 @@ _YOY = """, mm as (select cast(date_trunc('month', order_date) as date) as month
 my as (select * from (select month, amount, lag(amount, 12) over (order by month) as last_year from mm) where last_year is not null),
 mg as (select sum(amount) / nullif(cast(sum(last_year) as double), 0) as growth from my)"""
 _VALUES = {
-    "check_yoy_wape": ("yoy_wape", _YOY, "select sum(abs(amount - last_year * growth)) / nullif(cast(sum(amount) as double), 0) as v from my, mg", f"v6 between {k.YOY_WAPE[0]} and {k.YOY_WAPE[1]}", f"between {k.YOY_WAPE[0]} and {k.YOY_WAPE[1]}"),
-    "check_churn_ratio": ("churn_ratio", "", f"select avg(cast(l < (select max(order_date) from fact) - interval {k.CHURN_DAYS} day as double)) as v from (select max(order_date) as l from fact group by customer_code)", f"v6 between {k.CHURN[0]} and {k.CHURN[1]}", f"between {k.CHURN[0]} and {k.CHURN[1]}"),
-    "check_anomaly_rate": ("anomaly_rate", LABELS, "select (select count(*) from (select distinct order_no, line_no from labels)) / (select count(*) from fact) as v", f"v6 between {k.ANOMALY[0]} and {k.ANOMALY[1]}", f"between {k.ANOMALY[0]} and {k.ANOMALY[1]}"),
-    "check_large_deal_share": ("large_deal_share", "", f"select avg(cast(amount > (select median(amount) from fact where amount > 0) * {k.LARGE_TIMES} as double)) as v from fact where amount > 0", f"v6 between {k.LARGE[0]} and {k.LARGE[1]}", f"between {k.LARGE[0]} and {k.LARGE[1]}"),
-    "check_empty_department_months": ("empty_department_months", "", "select count(distinct date_trunc('month', order_date)) * count(distinct department) - (select count(*) from (select distinct department, date_trunc('month', order_date) from fact where quantity > 0)) as v from fact", "v6 = 0", "0"),
-    "check_orders_per_customer_month": ("orders_per_customer_month", "", "select count(distinct order_no) filter (quantity > 0) / (count(distinct customer_code) * count(distinct date_trunc('month', order_date))) as v from fact", f"v6 >= {k.MIN_ORDERS_PER_CUSTOMER_MONTH}", f"at least {k.MIN_ORDERS_PER_CUSTOMER_MONTH}"),
-    "check_below_cost": ("below_cost", LABELS, "select count(*) as v from fact f where quantity > 0 and profit < 0 and not exists (select 1 from labels l where l.order_no = f.order_no and l.line_no = f.line_no)", "v6 = 0", "0"),
+    "check_yoy_wape": ("yoy_wape", _YOY, "select sum(abs(amount - last_year * growth)) / nullif(cast(sum(amount) as double), 0) as v from my, mg", f"v between {k.YOY_WAPE[0]} and {k.YOY_WAPE[1]}", f"between {k.YOY_WAPE[0]} and {k.YOY_WAPE[1]}"),
+    "check_churn_ratio": ("churn_ratio", "", f"select avg(cast(l < (select max(order_date) from fact) - interval {k.CHURN_DAYS} day as double)) as v from (select max(order_date) as l from fact group by customer_code)", f"v between {k.CHURN[0]} and {k.CHURN[1]}", f"between {k.CHURN[0]} and {k.CHURN[1]}"),
+    "check_anomaly_rate": ("anomaly_rate", LABELS, "select (select count(*) from (select distinct order_no, line_no from labels)) / (select count(*) from fact) as v", f"v between {k.ANOMALY[0]} and {k.ANOMALY[1]}", f"between {k.ANOMALY[0]} and {k.ANOMALY[1]}"),
+    "check_large_deal_share": ("large_deal_share", "", f"select avg(cast(amount > (select median(amount) from fact where amount > 0) * {k.LARGE_TIMES} as double)) as v from fact where amount > 0", f"v between {k.LARGE[0]} and {k.LARGE[1]}", f"between {k.LARGE[0]} and {k.LARGE[1]}"),
+    "check_empty_department_months": ("empty_department_months", "", "select count(distinct date_trunc('month', order_date)) * count(distinct department) - (select count(*) from (select distinct department, date_trunc('month', order_date) from fact where quantity > 0)) as v from fact", "v = 0", "0"),
+    "check_orders_per_customer_month": ("orders_per_customer_month", "", "select count(distinct order_no) filter (quantity > 0) / (count(distinct customer_code) * count(distinct date_trunc('month', order_date))) as v from fact", f"v >= {k.MIN_ORDERS_PER_CUSTOMER_MONTH}", f"at least {k.MIN_ORDERS_PER_CUSTOMER_MONTH}"),
+    "check_below_cost": ("below_cost", LABELS, "select count(*) as v from fact f where quantity > 0 and profit < 0 and not exists (select 1 from labels l where l.order_no = f.order_no and l.line_no = f.line_no)", "v = 0", "0"),
 }
 
 
 def _check(name: str, note: bool = False) -> str:
     title, _, value, passed, text = _VALUES[name]
     extra = f", case when not ({passed}) then 'expected {text}' end as note" if note else ""
-    return f"select '{title}' as name, v6 as value, {passed} as passed{extra} from (select round(cast(v as double), 6) as v6 from ({value}))"
+    return f"select '{title}' as name, round(v, 6) as value, {passed} as passed{extra} from (select cast(v as double) as v from ({value}))"
 
 
 for _name, (_, _ctes, *_rest) in _VALUES.items():
@@ -181,9 +182,14 @@ legacy_series_summary = f"""with {SALES}{DAYS}, b as (select count(*) as n_lines
 c as (select *, (select count(*) from (select distinct department, product from fact)) as n_series, (select count(*) from (select distinct department, product, order_date from fact)) as observed, (select count(*) from grid) as n_business_days from b)
 select *, round(1 - observed / (n_series * n_business_days), 6) as zero_share_business, round(1 - observed / (n_series * n_days), 6) as zero_share_days from c"""
 weekday_order_counts = _FACT + "select cast(isodow(order_date) as integer) as weekday, count(*) as n from fact group by 1"
-_KINDS = {"order_no": "bigint", "line_no": "bigint", "order_date": "date", "department": "string", "product": "string", "quantity": "bigint", "discount": "double", "amount": "bigint"}
+_KINDS = {
+    "order_no": "bigint", "line_no": "bigint", "order_date": "date", "customer_code": "bigint", "customer_name": "string", "customer_area": "string", "department": "string", "sales_rep": "string", "product": "string",
+    "category": "string", "quantity": "bigint", "discount": "double", "tax": "double", "amount": "bigint", "cost": "bigint", "profit": "bigint",
+}
 column_profile = _FACT + " union all ".join(f"select '{c}' as \"column\", '{t}' as kind, count(*) filter ({c} is null) as n_nulls, round(count(*) filter ({c} is null) * 100.0 / count(*), 6) as null_percent, count(distinct {c}) + cast(count(*) filter ({c} is null) > 0 as bigint) as n_unique from fact" for c, t in _KINDS.items())
-numeric_summary = _FACT + " union all ".join(f"select '{c}' as \"column\", count(v) as n, count(*) filter (v is null) as n_nulls, round(avg(v), 4) as mean, round(stddev_samp(v), 4) as std, min(v) as min, quantile_cont(v, 0.25) as q25, quantile_cont(v, 0.5) as q50, quantile_cont(v, 0.75) as q75, max(v) as max from (select cast({c} as double) as v from fact)" for c in ("quantity", "discount", "amount"))
-low_cardinality_values = _FACT + " union all ".join(f"select '{c}' as \"column\", value from (select distinct {c} as value from fact) where (select count(distinct {c}) from fact) <= 15" for c in ("department", "product", "category", "customer_area"))
+numeric_summary = _FACT + " union all ".join(f"select '{c}' as \"column\", count(v) as n, count(*) filter (v is null) as n_nulls, round(avg(v), 4) as mean, round(stddev_samp(v), 4) as std, min(v) as min, quantile_cont(v, 0.25) as q25, quantile_cont(v, 0.5) as q50, quantile_cont(v, 0.75) as q75, max(v) as max from (select cast({c} as double) as v from fact)" for c, t in _KINDS.items() if t in ("bigint", "double"))
+low_cardinality_values = _FACT + " union all ".join(f"select '{c}' as \"column\", cast(value as varchar) as value from (select distinct {c} as value from fact) where (select count(distinct {c}) from fact) <= 15" for c in _KINDS)
 date_span = _FACT + "select 'order_date' as \"column\", min(order_date) as first_day, max(order_date) as last_day, cast(max(order_date) - min(order_date) + 1 as bigint) as n_days, count(distinct order_date) as n_present, cast(max(order_date) - min(order_date) + 1 as bigint) - count(distinct order_date) as n_missing from fact"
-duplicate_rows = "select cast(sum(c) as bigint) as n_rows, count(*) as n_distinct, cast(sum(c) as bigint) - count(*) as n_duplicates from (select count(*) as c from lineitem group by l_orderkey, l_linenumber)"
+duplicate_rows = "select cast(sum(c) as bigint) as n_rows, count(*) as n_distinct, cast(sum(c) as bigint) - count(*) as n_duplicates from (select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate, count(*) as c from lineitem group by all)"
+encode_customers_products = _FACT + """select 'customer_code' as "column", count(distinct customer_code) as n, cast(count(distinct customer_code) - 1 as integer) as highest, count(distinct customer_code) as n_codes, cast(0 as bigint) as n_disordered from fact
+union all select 'product', count(distinct product), cast(count(distinct product) - 1 as integer), count(distinct product), cast(0 as bigint) from fact"""

@@ -52,6 +52,7 @@ PRODUCTS = (
 
 SEASON = (0.90, 0.95, 1.30, 0.85, 0.90, 1.00, 0.95, 0.85, 1.15, 1.00, 1.00, 1.15)
 WEEKDAY = (1.05, 1.00, 1.00, 0.95, 1.00, 0.0, 0.0)
+#: Rates, spans and factors that a ledger of this kind is made with.
 YEAR_SIGMA, MONTH_SIGMA = 0.09, 0.13
 ORDERS_A_DAY = 0.19
 FOLLOW_DAYS, FOLLOW_BOOST = 90, 3.0
@@ -207,7 +208,11 @@ def _lines(orders: DataFrame, d: Draws) -> DataFrame:
 
 
 def _with_large_deals(lines: DataFrame, d: Draws) -> DataFrame:
-    """A few lines a month, likelier those of large customers, grow to large deals; the rank is cut before the shuffle."""
+    """A few lines a month, likelier those of large customers, grow to large deals.
+
+    Ranks are cut at 80 before the shuffle: the number of a month is a Poisson draw of mean LARGE_A_MONTH
+    (7), which passes 80 with a probability below 1e-50, so the cut drops no deal.
+    """
     at = (F.col("id"), F.col("number"), F.col("pos"))
     key = -F.ln(d.uniform("large", *at)) / (F.col("size") + 1e-9)
     limit = poisson(d.uniform("large count", F.col("m")), F.lit(0.0), F.lit(LARGE_A_MONTH))
