@@ -32,10 +32,38 @@ def test_train_landing(files):
     assert cli.main(["train-landing", str(files / "sales"), out, "--save-model", str(files / "model")]) == 0
     report = json.loads((files / "out" / "landing_metrics.json").read_text())
     assert report["best_baseline"] in report["overall"] and 0 <= report["interval_coverage"] <= 1
-    assert set(quantile.load(str(files / "model"))) == {0.1, 0.5, 0.9}
+    artifact = quantile.load(str(files / "model"))
+    assert set(artifact.models) == {0.1, 0.5, 0.9} and "ALL" in artifact.codes["values"]["department"] and artifact.metadata["rows"] > 0
+    assert "feat_department_code" in artifact.models[0.5].features
     assert cli.main(["train-landing", str(files / "sales"), out]) == 1
 
 
+def test_train_without_folds(files, tmp_path, capsys):
+    settings = tmp_path / "many.yaml"
+    settings.write_text("landing: {val_months: 500}\n")
+    assert cli.main(["--config", str(settings), "train-landing", str(files / "sales"), str(tmp_path / "none")]) == 1
+    assert "too few" in capsys.readouterr().err and not (tmp_path / "none").exists()
+
+
+def test_outer_quantiles_by_number(spark):
+    rows = [("a", None, 1, 10, 5.0, 9.0, 10.0, 20.0)]
+    predictions = spark.createDataFrame(rows, "department string, month date, step int, landing bigint, pred_q5 double, pred_q10 double, pred_q50 double, pred_q90 double")
+    validation = spark.createDataFrame([("a", None, 1, 10, 8.0)], "department string, month date, step int, landing bigint, base_x double")
+    assert cli.summary(validation, predictions)["interval_coverage"] == 1.0
+    low = predictions.withColumn("landing", F.lit(7).cast("bigint"))
+    assert cli.summary(validation, low)["interval_coverage"] == 1.0
+    assert cli.summary(validation, predictions.drop("pred_q5", "pred_q10", "pred_q90"))["interval_coverage"] == 1.0
+
+
+def test_explore_and_profile(files, capsys):
+    assert cli.main(["explore", str(files / "sales"), str(files / "labels")]) == 0
+    out = capsys.readouterr().out
+    assert "levels of aggregation" in out and "fp_rate" in out
+    assert cli.main(["profile", str(files / "labels")]) == 0
+    out = capsys.readouterr().out
+    assert all(f"{k}. " in out for k in range(1, 8)) and "push_sale" in out
+
+
 def test_generate(tmp_path, capsys):
     settings = tmp_path / "small.yaml"
     settings.write_text("seed: 7\nledger: {start: 2023-01-01, end: 2023-04-30, n_customers: 15, reps_per_department: 2}\n")
@@ -53,6 +81,8 @@ def test_config(tmp_path):
     good = tmp_path / "good.yaml"
     good.write_text("landing:\n  n_folds: 2\n  quantiles: [0.2, 0.5, 0.8]\n")
     assert load_config(str(good)).landing.quantiles == (0.2, 0.5, 0.8)
+    good.write_text("paths: {raw_dir: x/raw}\n")
+    assert load_config(str(good)).paths.raw_dir == "x/raw" and load_config(str(good)).paths.model_dir == "models"
     for text in ("other: {}\n", "landing: {foo: 1}\n", "landing: {n_folds: 0}\n", "landing: {quantiles: [0.1]}\n", "landing: {grid_end: never}\n", "ledger: {foo: 1}\n", "ledger: {end: 2020-01-01}\n", "ledger: {churn_ratio: 0.9}\n"):
         good.write_text(text)
         with pytest.raises(ValueError):

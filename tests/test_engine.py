@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from landfall.functions import calendar, metrics
+from landfall.functions import calendar, metrics, quantiles, scalars
 from landfall.operators import checks, encoding, explore, landing, profile, splits
 from landfall.sources import ledger
 
@@ -108,15 +110,68 @@ def test_required_columns(spark, fact):
     with pytest.raises(KeyError):
         landing.daily_with_company(fact.drop("amount"))
     with pytest.raises(KeyError):
-        encoding.CategoricalEncoder(("nope",)).fit(fact)
+        encoding.fit_codes(fact, ("nope",))
 
 
 def test_encoder(spark):
-    df = spark.createDataFrame([("b",), ("a",), ("c",)], "g string")
-    enc = encoding.CategoricalEncoder(("g",)).fit(df)
-    again = encoding.CategoricalEncoder.from_dict(enc.to_dict())
-    rows = again.transform(spark.createDataFrame([("a",), ("c",), ("z",), (None,)], "g string")).collect()
-    assert [r.feat_g_code for r in rows] == [0, 2, -1, -1]
+    df = spark.createDataFrame([("b", 10), ("a", 9), ("c", None), ("b", 10)], "g string, h int")
+    codes = encoding.fit_codes(df, ("g", "h"))
+    again = encoding.codes_from_dict(spark, encoding.codes_to_dict(codes))
+    for table in (codes, again):
+        rows = encoding.encode(spark.createDataFrame([("a", 10), ("c", 9), ("z", 1), (None, None)], "g string, h int"), table).collect()
+        assert sorted((r.feat_g_code, r.feat_h_code) for r in rows) == [(-1, -1), (-1, -1), (0, 0), (2, 1)]
+    many = spark.range(5000).selectExpr("cast(id as string) as k")
+    coded = encoding.encode(many, encoding.fit_codes(many, ("k",)))
+    assert [r.k for r in coded.orderBy("feat_k_code").collect()] == sorted(str(i) for i in range(5000))
+    assert {r.feat_k_code for r in coded.collect()} == set(range(5000))
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(5)
+    rows = [("a", float(rng.randrange(50))) for _ in range(999)] + [("b", rng.random()) for _ in range(20000)] + [("c", None), ("d", 3.0), ("e", 1.0), ("e", 2.0)]
+    df = spark.createDataFrame(rows, "column string, v double").repartition(7)
+    qs = (0.0, 0.25, 0.5, 0.9, 1.0)
+    got = {(r.column, r.q): r.value for r in quantiles.exact_quantiles(df, qs).collect()}
+    values = {}
+    for c, v in rows:
+        values.setdefault(c, []).append(v)
+    assert got == {(c, q): pytest.approx(float(np.quantile(values[c], q)), rel=1e-12) for c in "abde" for q in qs}
+
+
+def test_scalars():
+    assert scalars.as_date(dt.datetime(2024, 1, 2, 3)) == scalars.as_date(DAY("2024-01-02")) == DAY("2024-01-02") and scalars.as_float(3) == 3.0
+    for bad in (None, "2024-01-02", 3):
+        with pytest.raises(TypeError):
+            scalars.as_date(bad)
+    for bad in (None, "3", True, DAY("2024-01-02")):
+        with pytest.raises(TypeError):
+            scalars.as_float(bad)
+
+
+def test_evaluate(spark):
+    y, f = F.col("y"), F.col("f")
+    whole = spark.createDataFrame([(10.0, 12.0), (0.0, 3.0), (90.0, 85.0)], "y double, f double")
+    assert metrics.evaluate(whole, metrics.point_bundle(y, f), y, f)["wape"] == pytest.approx(0.10)
+    with pytest.raises(ValueError):
+        metrics.evaluate(whole.limit(0), metrics.point_bundle(y, f), y, f)
+    with pytest.raises(ValueError):
+        metrics.evaluate(whole.unionByName(spark.createDataFrame([(1.0, None)], "y double, f double")), metrics.point_bundle(y, f), y, f)
+
+
+def test_split(spark):
+    days = [DAY("2025-01-01") + dt.timedelta(days=i) for i in range(100)]
+    df = spark.createDataFrame([(d, i) for i, d in enumerate(days)], "date date, value int")
+    for fold in splits.expanding_folds(days, 2, 10, 3):
+        train, val = splits.split(df, fold)
+        assert train.count() == fold.train_steps and val.count() == fold.val_steps
+        assert train.agg(F.max("date")).first()[0] < val.agg(F.min("date")).first()[0]
+
+
+def test_bounds_hold_for_the_value_itself(spark):
+    """A value that only rounding would bring within its bounds fails."""
+    df = spark.createDataFrame([(0.2500004,), (0.25,), (0.1499999,), (0.15,)], "v double")
+    rows = checks._one(df, "x", F.col("v"), checks._within(checks.YOY_WAPE)).collect()
+    assert [(r.value, r.passed) for r in rows] == [(0.25, False), (0.25, True), (0.15, False), (0.15, True)]
 
 
 def test_checks_fail_when_broken(spark, fact):
@@ -126,7 +181,7 @@ def test_checks_fail_when_broken(spark, fact):
     cheap = fact.withColumn("profit", F.lit(-1000).cast("bigint"))
     assert not checks.below_cost(cheap, labels).first().passed
     text = checks.format_report(checks.report(fact, labels).collect())
-    assert "below_cost" in text and "NG" in text
+    assert "below_cost" in text and "NG" in text and "%" in text and checks.shown("yoy_wape", 0.1984) == "19.8%"
 
 
 def test_unknown_product(spark, fact):
@@ -154,7 +209,15 @@ def test_csv(spark, tmp_path):
 
 
 def test_profile(spark):
-    df = spark.createDataFrame([(1, "x"), (1, None), (2, "x"), (2, "x")], "n int, s string")
+    df = spark.createDataFrame([(1, "x", 0.0, DAY("2024-01-01"), "2024-02-01"), (1, None, -0.0, DAY("2024-01-03"), "no"), (2, "x", 1.5, DAY("2024-01-03"), None), (2, "x", 1.5, DAY("2024-01-03"), None)], "n int, s string, f double, d date, my_day string")
     rows = {r.column: r for r in profile.column_profile(df).collect()}
-    assert rows["s"].n_unique == 2 and rows["s"].n_nulls == 1 and rows["n"].n_unique == 2
+    assert rows["s"].n_unique == 2 and rows["s"].n_nulls == 1 and rows["n"].n_unique == 2 and rows["f"].n_unique == 2 and rows["s"].null_percent == 25.0
     assert profile.duplicate_rows(df).first().n_duplicates == 1
+    assert profile.date_columns(df) == ["d", "my_day"]
+    spans = {r.column: r for r in profile.date_span(df).collect()}
+    assert (spans["d"].n_days, spans["d"].n_present, spans["d"].n_missing) == (3, 2, 1) and spans["my_day"].n_present == 1
+    assert sorted(((r.column, r.value) for r in profile.low_cardinality_values(df, limit=2).collect()), key=str) == sorted([("n", "1"), ("n", "2"), ("s", "x"), ("s", None), ("f", "0.0"), ("f", "1.5"), ("d", "2024-01-01"), ("d", "2024-01-03")], key=str)
+    assert {r.column: r.q50 for r in profile.numeric_summary(df).collect()} == {"n": 1.5, "f": 0.75}
+    assert profile.shape(df).first()[:] == (4, 5) and profile.head(df, 2).count() == 2
+    none = df.limit(0)
+    assert {r.n_unique for r in profile.column_profile(none).collect()} == {0} and profile.numeric_summary(none).count() == 0 and profile.duplicate_rows(none).first()[:] == (0, 0, 0)

@@ -46,16 +46,35 @@ def test_contract(toy, tmp_path):
     assert counts == sorted(counts, reverse=True)
     with pytest.raises(FileNotFoundError):
         quantile.load(str(tmp_path))
-    quantile.save(models, str(tmp_path))
-    assert np.array_equal(quantile.load(str(tmp_path))[0.9].predict(frame), models[0.9].predict(frame))
+    artifact = quantile.Artifact(models, {"columns": ["g"], "values": {"g": ["a", "b"]}}, {"rows": 600, "months": ["2024-01"]})
+    quantile.save(artifact, str(tmp_path))
+    loaded = quantile.load(str(tmp_path))
+    assert np.array_equal(loaded.models[0.9].predict(frame), models[0.9].predict(frame))
+    assert loaded.codes == artifact.codes and loaded.metadata == artifact.metadata
     (tmp_path / "model.json").write_text('{"format_version": 0, "models": []}')
     with pytest.raises(ValueError):
         quantile.load(str(tmp_path))
     (tmp_path / "model.json").write_text("[]")
-    with pytest.raises(TypeError):
+    with pytest.raises(ValueError):
         quantile.load(str(tmp_path))
 
 
+def test_codes_are_categories():
+    """A target that depends on which code it is, not on how large, is found in one split; features never split on are listed."""
+    rng = np.random.default_rng(1)
+    code = rng.integers(-1, 12, 900)
+    frame = pd.DataFrame({"feat_g_code": code, "feat_const": 1.0})
+    high = np.isin(code, [-1, 2, 5, 6, 11])
+    target = np.where(high, 100.0, 10.0) + rng.normal(size=900)
+    model = quantile.QuantileGBM(0.5, ["feat_g_code", "feat_const"]).fit(frame, target)
+    root = model.trees[0][0]
+    assert set(root["codes"]) in ({-1, 2, 5, 6, 11}, set(range(-1, 12)) - {-1, 2, 5, 6, 11})
+    assert np.abs(model.predict(frame) - target).mean() < 2
+    assert quantile.importance({0.5: model}, 0.5)[-1] == ("feat_const", 0)
+    unseen = model.predict(pd.DataFrame({"feat_g_code": [99.0, np.nan], "feat_const": 1.0}))
+    assert np.isfinite(unseen).all()
+
+
 def test_forecasts_do_not_cross(spark):
     rows = catalogue.QUERIES["quantile_gbm_forecast"](spark, "/root/testdata/sf0.001").toPandas()
     assert len(rows) and (rows["pred_q10"] <= rows["pred_q50"]).all() and (rows["pred_q50"] <= rows["pred_q90"]).all()
