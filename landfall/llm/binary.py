@@ -7,6 +7,7 @@ Bloom filters.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Kept, gathered, split_words, stored
 from .tokens import byte_symbols
 
 #: Settings of the ORC writer.
@@ -29,27 +30,33 @@ ORC_OPTIONS = {
     "orc.create.index": "true",
     "orc.row.index.stride": "10000",
     "orc.stripe.size": str(64 << 20),
-    "compression": "zlib",
+    "compression": "zstd",
 }
-CACHE = 700_000
+#: Bytes of words whose ids a worker remembers.
+WORD_BYTES = 192 << 20
 #: The files' first places are broadcast up to this number of files, and joined by shuffle beyond.
 BROADCAST_FILES = 200_000
-#: The splitter's pattern with its letter, number and space classes written out for Latin-1.
+#: The normalizer and splitter that the short ways below are right for, as tokenizer files state them.
+LOWER_CASE = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: WORD_PIECES with its letter, number and space classes written out for Latin-1.
 LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa0A-Za-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-_PLAIN = re.compile(r"[!-~]+")
+#: Which Latin-1 characters are no letter, number or space.
+_SIGNS = np.array([LATIN_PIECES.fullmatch(chr(c) * 2) is not None and not chr(c).isalpha() for c in range(256)])
 
-_tokenizers: dict[str, "ChunkEncoder"] = {}
+_tokenizers: dict[str, "PieceEncoder"] = {}
 
 
-class ChunkEncoder:
-    """Ids of texts, with those of chunks between spaces remembered.
+class PieceEncoder:
+    """Ids of texts, with those of words remembered.
 
-    Holds for tokenizers whose normalizer and splitter never join what a space parts, and that put no
-    space into a token. With ``latin`` the normalizer only lower-cases Latin-1 text and the splitter is
-    LATIN_PIECES on it: then new chunks of such characters go straight to the library's merge model.
+    The short way is taken only if the file's normalizer and splitter are the ones it is made for: they
+    never join what white space parts, so each distinct word is encoded once. On Latin-1 words that
+    normalizer only lower-cases and the splitter is LATIN_PIECES, so their pieces go straight to the
+    library's merge model. With any other file whole texts go to the library.
     """
 
-    def __init__(self, path: str, latin: bool = True):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,37 +64,57 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.latin = latin
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        split, *rest = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.known = (
+            spec["normalizer"] == LOWER_CASE
+            and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", {"Regex": WORD_PIECES}, "Removed", True)
+            and [(x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
+            and spec["model"]["type"] == "BPE"
+            and all(not re.search(r"\s", t["content"]) and t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"]) for t in spec["added_tokens"])
+        )
         self.symbols = byte_symbols()
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            spelled = piece if _PLAIN.fullmatch(piece) else "".join(map(self.symbols.__getitem__, piece.encode()))
-            found = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        return found
-
-    def _chunk(self, chunk: str) -> bytes:
-        if self.latin and "<|" not in chunk and (chunk.isascii() or max(chunk) <= "\xff"):
-            found = b"".join(map(self._piece, LATIN_PIECES.findall(chunk.lower())))
-        else:
-            found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        self.known[chunk] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """The ids as 32-bit integers in the order of this machine's bytes."""
-        chunks, known = text.split(" "), self.known
+        self.words = Kept(self._encoded, WORD_BYTES)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        merged, symbols, out = self.model.tokenize, self.symbols, []
+        for word in words:
+            if word.isascii() and word.isalpha():
+                out.append(array("I", [t.id for t in merged(word.lower())]).tobytes())
+            elif "<|" in word or not (word.isascii() or max(word) <= "\xff"):
+                out.append(self._whole(word))
+            else:
+                pieces = ["".join(map(symbols.__getitem__, x.encode())) for x in LATIN_PIECES.findall(word.lower())]
+                out.append(array("I", [t.id for x in pieces for t in merged(x)]).tobytes())
+        return out
+
+    def _spaced(self, text: str) -> str:
+        """Fewer different words with the same pieces: a Latin-1 text in lower case and, if no two signs stand side by side, with spaces around full stops and commas."""
         try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            return b"".join([found if (found := known.get(x)) is not None else self._chunk(x) for x in chunks])
+            signs = _SIGNS[np.frombuffer(text.encode("latin-1"), np.uint8)]
+        except UnicodeEncodeError:
+            return text
+        if "<|" in text:
+            return text
+        return text.lower() if (signs[1:] & signs[:-1]).any() else text.lower().replace(".", " . ").replace(",", " , ")
+
+    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each text's with ``end`` after them, and where each text's stop."""
+        if self.known:
+            offsets, codes, words = split_words(pa.array([self._spaced(t or "") for t in texts], pa.string()))
+            values = self.words.of(words.to_pylist())
+        else:
+            offsets, codes, values = np.arange(len(texts) + 1), np.arange(len(texts)), [self._whole(t or "") for t in texts]
+        if end is not None:
+            codes, offsets = np.insert(codes, offsets[1:], len(values)), offsets + np.arange(len(offsets))
+            values.append(np.uint32(end).tobytes())
+        ids, ends = gathered(values, codes, "u4")
+        return ids, np.concatenate([[0], ends])[offsets[1:]]
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
@@ -101,16 +128,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _tokenizers:
-            _tokenizers[tokenizer] = ChunkEncoder(tokenizer)
-        encoder, end = _tokenizers[tokenizer], np.uint32(end_id).tobytes()
+            _tokenizers[tokenizer] = PieceEncoder(tokenizer)
+        encoder = _tokenizers[tokenizer]
         part, offset = TaskContext.get().partitionId(), 0
         for batch in batches:
-            rows = [(encoder.encode(t) if t else b"") + end for t in batch.column(1).to_pylist()]
-            sizes = np.array([len(r) // 4 for r in rows], np.int64)
-            ends = np.cumsum(sizes)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+            flat, ends = encoder.encode(batch.column(1).to_pylist(), end_id)
+            sizes = np.diff(ends, prepend=0)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int32)))
             yield pa.record_batch(
-                [batch.column(0), ids, pa.array(sizes), pa.array(np.full(len(rows), part, np.int32)), pa.array(offset + ends - sizes)],
+                [batch.column(0), ids, pa.array(sizes), pa.array(np.full(len(sizes), part, np.int32)), pa.array(offset + ends - sizes)],
                 names=["doc_id", "ids", "n_tokens", "part", "offset"],
             )
             offset += int(ends[-1]) if len(ends) else 0

@@ -1,45 +1,28 @@
-"""Shared pieces: tables, the shared scratch folder, word splitting and word hashes."""
+"""Shared pieces: tables, the shared scratch folder, caches of bounded size and word hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dir: list[str] = []
+from ..shared import released, scratch, stored, until_exit  # noqa: F401
 
-
-#: Bytes of one Arrow batch at most, so very long texts do not meet by the thousand.
-BATCH_BYTES = 16 << 20
+#: Bytes of one Arrow batch at most, but for a single longer text.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir. Arrow batches of the session are bounded by bytes from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary one only if that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not _own_dir:
-            _own_dir.append(tempfile.mkdtemp(prefix="landfall-"))
-        base = _own_dir[0]
-    return f"{base.rstrip('/')}/landfall-{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, **options) -> DataFrame:
-    """The rows of df, written once to the shared folder and read again: lineage ends there."""
-    path = scratch(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def mapped(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """df with ``rows`` applied to each Arrow batch."""
 
@@ -55,19 +38,80 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for the words seen of late."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+class Kept:
+    """What ``make`` gives for keys, remembered in about ``limit`` bytes, however long the keys are.
+
+    ``make`` takes a list of different keys and returns the list of their values, which have a length.
+    When the room is used up, what the last call asked for is all that stays.
+    """
+
+    def __init__(self, make: Callable[[list], list], limit: int):
+        self.make, self.limit, self.held = make, limit, 0
+        self.known: dict[Hashable, Any] = {}
+
+    def of(self, keys: list) -> list:
+        """The values of different keys."""
+        found = list(map(self.known.get, keys))
+        missing = [k for k, v in zip(keys, found) if v is None]
+        if not missing:
+            return found
+        made = self.make(missing)
+        fresh = iter(made)
+        found = [next(fresh) if v is None else v for v in found]
+        self.held += self._bytes(missing, made)
+        if self.held <= self.limit:
+            self.known.update(zip(missing, made))
+        else:
+            self.held = self._bytes(keys, found)
+            self.known = dict(zip(keys, found)) if self.held <= self.limit else {}
+            self.held *= bool(self.known)
+        return found
+
+    @staticmethod
+    def _bytes(keys: list, values: list) -> int:
+        return sum(map(len, keys)) + sum(map(len, values)) + 150 * len(keys)
+
+
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Where each text's words begin and end, a number for each word, and the distinct words by number.
+
+    Words are what ASCII white space parts; a null text has none. With ``lower`` A-Z count as a-z.
+    """
+    plain = texts.fill_null("")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(plain) if lower else plain)
+    coded = lists.values.dictionary_encode()
+    offsets, codes, words = np.asarray(lists.offsets), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    empty = pc.index(words, "").as_py()
+    if empty >= 0:  # white space at either end of a text
+        real = codes != empty
+        offsets, codes = np.concatenate([[0], np.cumsum(real)])[offsets], codes[real]
+    return offsets, codes, words
+
+
+def hashed_words(texts: pa.Array, lower: bool = False) -> list[np.ndarray]:
+    """The 64-bit hashes of each text's words in order; every distinct word of the batch is hashed once."""
+    offsets, codes, words = split_words(texts, lower)
+    distinct = words.cast(pa.binary()).to_pylist()
+    flat = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[codes]
+    return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def gathered(values: list[bytes], codes: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all codes one after the other as numbers of that kind, and where each one ends."""
+    width = np.dtype(kind).itemsize
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
+    return gather(np.frombuffer(b"".join(values), kind), np.cumsum(sizes) - sizes, sizes, codes)
+
+
+def gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands in ``pool`` at the places of all codes, one after the other, and where each one ends."""
+    n = sizes[codes]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+    index = np.repeat((starts[codes] - (ends - n)).astype(kind), n)
+    index += np.arange(total, dtype=kind)
+    return pool[index], ends
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)

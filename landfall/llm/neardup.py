@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, mix64, stored, text_bytes
+from .common import gram_hashes, hashed_words, mix64, stored
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -28,15 +28,11 @@ BANDS, ROWS = 30, 6
 HOT = 16
 
 _CHUNK = 1 << 16
-_WORDS = WordHashes()
 
 
-def shingles(text: bytes | None, width: int = SHINGLE_WORDS) -> np.ndarray:
-    """The sorted hashes of the distinct shingles; A-Z count as a-z."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(gram_hashes(_WORDS.of(words), min(width, len(words))))
+def shingles(words: np.ndarray, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """The sorted hashes of the distinct shingles of a text's word hashes."""
+    return np.unique(gram_hashes(words, min(width, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
 
 def _permuted(x: np.ndarray, buffer: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -77,8 +73,7 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, high, low, keys = [], [], [], []
-        for text in text_bytes(batch.column(1)):
-            found = shingles(text)
+        for found in map(shingles, hashed_words(batch.column(1), lower=True)):
             digest = xxhash.xxh3_128_intdigest(found.tobytes())
             sizes.append(len(found))
             high.append(digest >> 64)
@@ -90,7 +85,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch([batch.column(0), pa.array([shingles(t).tobytes() for t in text_bytes(batch.column(1))], pa.binary())], names=["node", "shingles"])
+        yield pa.record_batch([batch.column(0), pa.array([shingles(w).tobytes() for w in hashed_words(batch.column(1), lower=True)], pa.binary())], names=["node", "shingles"])
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

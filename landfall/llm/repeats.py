@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, mix64, stored, text_bytes
+from .common import gram_hashes, hashed_words, mix64, stored, text_bytes
 
 #: Words of the shortest passage that counts.
 MIN_WORDS = 50
@@ -31,17 +31,12 @@ CHUNK_ROWS = 60_000
 
 _NONE = np.iinfo(np.int64).min
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_WORDS = WordHashes()
 _ROW = MIN_WORDS + REACH - 1
 
 SUFFIX = "key bigint, doc_id bigint, pos int, context binary, after int, before int, first_window int, windows array<bigint>"
 SPAN = "doc_id bigint, start int, stop int, first_doc bigint"
 
 
-def _words(text: bytes | None) -> np.ndarray:
-    return _WORDS.of(text.split()) if text else np.zeros(0, np.uint64)
-
-
 def window_minimisers(grams: np.ndarray) -> np.ndarray:
     """For each window the place of its smallest gram, the leftmost of equal ones."""
     n = len(grams) - REACH + 1
@@ -67,8 +62,7 @@ def window_hashes(words: np.ndarray) -> np.ndarray:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, docs, places = [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-            words = _words(text)
+        for doc, words in zip(batch.column(0).to_pylist(), hashed_words(batch.column(1))):
             if doc is not None and len(words) >= MIN_WORDS:
                 grams = gram_hashes(words, GRAM_WORDS)
                 at = np.unique(window_minimisers(grams))
@@ -84,8 +78,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("context", pa.binary()), ("after", pa.int32()), ("before", pa.int32()), ("first_window", pa.int32()), ("windows", pa.list_(pa.int64()))])
     for batch in batches:
         rows = []
-        for doc, text, places, hot in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            words = _words(text)
+        for doc, words, places, hot in zip(batch.column(0).to_pylist(), hashed_words(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             if len(words) < MIN_WORDS:  # another row of this doc_id has the passage
                 continue
             grams = gram_hashes(words, GRAM_WORDS)
@@ -194,6 +187,17 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(docs, pa.int64()), total(every), total(cut), shaped(every), shaped(cut), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "n_repeated", "n_removed", "spans", "removed", "first_docs"])
 
 
+def _met(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with a stored table of one row (key, n: its number of rows, ...) a key.
+
+    Keys with more than HOT_ROWS rows are at most one in HOT_ROWS as many as rows, so these are broadcast,
+    and rows with them stay where they are; the others meet by shuffle, no key with many rows among them.
+    """
+    many = F.broadcast(table.filter(F.col("n") > HOT_ROWS).drop("n"))
+    rest = rows.join(many.select(key), key, "left_anti").join(table.filter(F.col("n") <= HOT_ROWS).drop("n").hint("merge"), key)
+    return rows.join(many, key).unionByName(rest)
+
+
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row a document that shares a passage of at least 50 words with another one.
 
@@ -201,22 +205,23 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     id has too (first_docs), so the first holder keeps its own; n_repeated and n_removed count their
     words. White space between words makes no difference, letter case does. Null or short texts share
     nothing; rows with a null key take no part; rows of one key count as one document; other columns are
-    not read. Documents that share nothing give no row, so an empty table gives none.
+    not read. Documents that share nothing give no row, so an empty table gives none. Texts are read whole,
+    however long.
 
     Grams are counted with partial aggregation before any suffix moves, and suffixes carry the words
-    around them, so texts move once.
+    around them, so texts move once. What very many places share never meets in one task.
     """
     source = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     anchors = stored(source.mapInArrow(_anchors, "key bigint, doc_id bigint, pos int"), "anchors")
-    shared = anchors.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a <> b").select("key", (F.col("n") > hot_rows).alias("hot"))
-    places = anchors.join(shared, "key").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "hot")).alias("p")).select("doc_id", F.col("p.pos").alias("pos"), F.col("p.hot").alias("hot"))
+    shared = anchors.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a <> b").select("key", "n", (F.col("n") > hot_rows).alias("hot"))
+    places = _met(anchors, stored(shared, "shared"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "hot")).alias("p")).select("doc_id", F.col("p.pos").alias("pos"), F.col("p.hot").alias("hot"))
     suffixes = stored(source.join(places.hint("merge"), "doc_id").select("doc_id", "text", "pos", "hot").mapInArrow(_suffixes, SUFFIX), "suffixes")
     cold = suffixes.filter("context is not null").select("key", "doc_id", "pos", "context", "after", "before")
     spans = cold.repartition("key").sortWithinPartitions("key", "context", "doc_id", "pos").mapInArrow(_matched, SPAN)
     hot = suffixes.filter("windows is not null").select("doc_id", "first_window", F.posexplode("windows").alias("i", "window"))
     starts = hot.select("doc_id", "window", (F.col("first_window") + F.col("i")).alias("start"))
-    held = starts.groupBy("window").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc <> last_doc").select("window", "first_doc")
-    hot_spans = starts.join(held, "window").select("doc_id", "start", (F.col("start") + MIN_WORDS).alias("stop"), "first_doc")
+    held = starts.groupBy("window").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n")).filter("first_doc <> last_doc").select("window", "first_doc", "n")
+    hot_spans = _met(starts, stored(held, "windows"), "window").select("doc_id", "start", (F.col("start") + MIN_WORDS).alias("stop"), "first_doc")
     each = spans.unionByName(hot_spans).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "first_doc")).alias("s"))
     ranges = "array<struct<start:int,stop:int>>"
     return each.mapInArrow(_merged, f"doc_id bigint, n_repeated bigint, n_removed bigint, spans {ranges}, removed {ranges}, first_docs array<bigint>")

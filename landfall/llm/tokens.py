@@ -10,23 +10,26 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import text_bytes
+from .common import Kept, gather, gathered
 
 #: The pattern that splits a text into pieces before byte-level merges.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-_WIDE_GAP = re.compile(r" \s|\s |^ | $")
 _SINGLE_GAP = re.compile(r"(?<=\S) (?=\S)")
+#: Ids that are decoded at once, or one text's.
+_BLOCK = 1 << 18
 
 
 def byte_symbols() -> list[str]:
@@ -44,7 +47,8 @@ class PrefixEncoder:
     a piece carries (empty if the file has none).
     """
 
-    CACHE = 300_000
+    #: Pairs of tokens, and bytes of pieces and of chunks, that a worker remembers.
+    PAIRS, PIECE_BYTES, CHUNK_BYTES = 300_000, 64 << 20, 128 << 20
 
     def __init__(self, path: str):
         self.path = path
@@ -55,10 +59,12 @@ class PrefixEncoder:
         self.end: str = model.get("end_of_word_suffix") or ""
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
         self.added: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if model["type"] != "BPE" or spec["normalizer"] or not self.end and (spec["pre_tokenizer"] or {}).items() < {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items():
+            raise ValueError(f"{path} is no byte-level tokenizer without normalizer")
         self.symbols = byte_symbols()
         self.compatible: dict[int, bool] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.pieces = Kept(self._encoded, self.PIECE_BYTES)
+        self.chunks = Kept(lambda chunks: self._joined([" " + c for c in chunks]), self.CHUNK_BYTES)
         self.names = {i: t for t, i in self.vocab.items()}
 
     @cached_property
@@ -98,7 +104,7 @@ class PrefixEncoder:
         rule joins before either is taken up are merged across the border. Of equal ranks the one
         further left goes first.
         """
-        if len(self.compatible) >= self.CACHE:
+        if len(self.compatible) >= self.PAIRS:
             self.compatible.clear()
         firsts = self._edge(right, 0)
         known = not any(
@@ -146,14 +152,15 @@ class PrefixEncoder:
         ids.reverse()
         return ids
 
-    def piece_bytes(self, piece: str) -> bytes:
-        """The ids of one piece as little-endian 32-bit integers, remembered."""
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= self.CACHE:
-                self.pieces.clear()
-            found = self.pieces[piece] = np.asarray(self.encode_piece(piece.encode()), "<u4").tobytes()
-        return found
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", self.encode_piece(x.encode())).tobytes() for x in pieces]
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """The ids of short texts, each distinct piece encoded once."""
+        parts = [self.split(x) for x in texts]
+        distinct = list(dict.fromkeys([p for ps in parts for p in ps]))
+        ids = dict(zip(distinct, self.pieces.of(distinct)))
+        return [b"".join(map(ids.__getitem__, ps)) for ps in parts]
 
     @cached_property
     def split(self):
@@ -165,11 +172,9 @@ class PrefixEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit integers; the strings of added tokens give their ids."""
-        if self.markers is None or not self.markers.search(text):
-            return self._plain(text)
         parts, at = [], 0
-        for m in self.markers.finditer(text):
-            parts += [self._plain(text[at : m.start()]), np.uint32(self.added[m[0]]).tobytes()]
+        for m in self.markers.finditer(text) if self.markers else ():
+            parts += [self._plain(text[at : m.start()]), array("I", [self.added[m[0]]]).tobytes()]
             at = m.end()
         return b"".join([*parts, self._plain(text[at:])])
 
@@ -177,20 +182,34 @@ class PrefixEncoder:
         """A single space between two other characters always starts a piece, so texts fall into chunks there."""
         if not text:
             return b""
-        head, *rest = text.split(" ") if not _WIDE_GAP.search(text) else _SINGLE_GAP.split(text)
-        known = self.chunks
-        try:
-            return b"".join([self._chunk(head, ""), *map(known.__getitem__, rest)])
-        except KeyError:
-            return b"".join([self._chunk(head, ""), *[known[x] if x in known else self._chunk(x, " ") for x in rest]])
-
-    def _chunk(self, chunk: str, before: str) -> bytes:
-        found = b"".join(map(self.piece_bytes, self.split(before + chunk)))
-        if before:
-            if len(self.chunks) >= self.CACHE:
-                self.chunks.clear()
-            self.chunks[chunk] = found
-        return found
+        head, *rest = _SINGLE_GAP.split(text)
+        distinct = list(dict.fromkeys(rest))
+        ids = dict(zip(distinct, self.chunks.of(distinct)))
+        return b"".join([*self._joined([head]), *map(ids.__getitem__, rest)])
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (not null) one after the other, and where each text's stop.
+
+        Where all spaces of a text are single ones, its chunks lie between them; each distinct chunk of the
+        batch is looked up once. Other texts, and those with strings of added tokens, go one by one.
+        """
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.values.dictionary_encode()
+        starts, codes = np.asarray(lists.offsets)[:-1], coded.indices.to_numpy(zero_copy_only=False).copy()
+        distinct = coded.dictionary.to_pylist()
+        odd = np.array([not c or c[0].isspace() or c[-1].isspace() or any(m in c for m in self.added) for c in distinct])
+        lone = np.logical_or.reduceat(odd[codes], starts)
+        chunks = iter(self.chunks.of([c for c, is_odd in zip(distinct, odd) if not is_odd]))
+        values = [b"" if is_odd else next(chunks) for is_odd in odd]
+        heads = iter(self._joined([distinct[c] for c in codes[starts[~lone]]]))
+        values += [self.encode(texts[k].as_py()) if is_lone else next(heads) for k, is_lone in enumerate(lone)]
+        keep = ~np.repeat(lone, np.diff(starts, append=len(codes)))
+        keep[starts] = True
+        codes[starts] = len(distinct) + np.arange(len(texts))
+        ids, ends = gathered(values, codes[keep], "<u4")
+        return ids, ends[np.append(np.cumsum(keep)[starts][1:] - 1, keep.sum()) - 1]
 
     @cached_property
     def token_bytes(self) -> list[bytes]:
@@ -208,13 +227,18 @@ class PrefixEncoder:
         sizes = np.array(list(map(len, self.token_bytes)), np.int64)
         return np.frombuffer(b"".join(self.token_bytes), np.uint8), np.cumsum(sizes) - sizes, sizes
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text of the ids, in UTF-8; bytes that are not UTF-8 become U+FFFD."""
-        pool, starts, sizes = self._pool
-        n = sizes[ids]
-        ends = np.cumsum(n)
-        joined = pool[np.repeat(starts[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        return joined.decode("utf-8", "replace").encode()
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The text of each run of ids, in UTF-8; bytes that are not UTF-8 become U+FFFD."""
+        out: list[bytes] = []
+        first = at = 0
+        while first < len(ends):  # runs of about _BLOCK ids, or one long one
+            last = max(first + 1, int(np.searchsorted(ends, at + _BLOCK, "right")))
+            joined, stops = gather(*self._pool, ids[at : ends[last - 1]])
+            bounds = np.concatenate([[0], stops])[np.concatenate([[at], ends[first:last]]) - at].tolist()
+            raw = joined.tobytes()
+            out += [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(bounds, bounds[1:])]
+            first, at = last, int(ends[last - 1])
+        return out
 
 
 _loaded: dict[tuple[type, str], PrefixEncoder] = {}
@@ -239,12 +263,9 @@ def byte_bpe(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = loaded(tokenizer)
         for batch in batches:
-            ids, texts = [], []
-            for raw in text_bytes(batch.column(1)):
-                row = codec.encode(raw.decode()) if raw else b""
-                ids.append(row)
-                texts.append(codec.decode(np.frombuffer(row, "<u4")))
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], names=[key, "ids_le", "decoded"])
+            flat, ends = codec.encode_all(batch.column(1).fill_null(""))
+            texts = pa.array(codec.decode_all(flat, ends), pa.binary()).cast(pa.string())
+            yield pa.record_batch([batch.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(np.append(0, ends[:-1]), ends)], pa.binary()), texts], names=[key, "ids_le", "decoded"])
 
     source = docs.select(key, text)
     return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, ids_le binary, decoded string")
