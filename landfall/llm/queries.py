@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import binary, html, licenses, mixing, neardup, quality, repeats, tokens, vectors, warc
-from .common import scratch, table
+from .common import scratch, table, until_exit
 
 
 def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's place, length and checksum, from the ORC files that its ids were written to."""
     path = scratch(spark, "ids")
     binary.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return binary.checksums(binary.read_ids(spark, path))
+    return binary.checksums(binary.read_ids(spark, until_exit(spark, path)))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the archives hold of every page, in the order of the merged capture index."""
     path = scratch(spark, "warc")
     warc.write_archives(warc.with_records(table(spark, sf_dir, "pages")), path)
-    merged = warc.merged_index(warc.read_archives(spark, path))
+    merged = warc.merged_index(warc.read_archives(spark, until_exit(spark, path)))
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

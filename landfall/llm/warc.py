@@ -1,24 +1,25 @@
 """WARC archives and their merged capture index.
 
 Archives are written by Spark's own text writer, whose line separator is the end mark of a WARC record, so
-they go to any file system that Spark can write to. Reading parses whole files by Content-Length. The
-index of each archive is a run sorted by URL key and timestamp; runs meet by ranges of the key and are
-merged by a loser tree, which gives the capture histories in one global order.
+they go to any file system that Spark can write to. Spark's text reader streams them back in pieces between
+such marks, which are put together again by Content-Length, so a task holds one record at a time. The
+index of each archive is a run sorted by URL key and timestamp; runs are cut at the bounds of ranges of
+bounded size, and a loser tree merges the pieces of a range, which gives the capture histories in one
+global order.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import BATCH_BYTES, stored
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -27,10 +28,15 @@ RECORD_END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
-#: Records in one archive at most; with it the size of a file that one task parses is bounded.
+#: Records in one archive at most.
 RECORDS_A_FILE = 2000
-#: Seconds since 1970 of the capture with id 0, for tables without a capture time.
-FIRST_CAPTURE = 1_577_836_800
+#: Seconds since 1970 of the capture with id 0, for tables without a capture time, and seconds after which
+#: times start again, so that the year has four digits for every id.
+FIRST_CAPTURE, CAPTURE_SPAN = 1_577_836_800, 250_000_000_000
+#: Payloads that others repeat are broadcast, as digest and page_id, up to this number, and joined by shuffle beyond.
+BROADCAST_HEADS = 300_000
+#: Rows of the index that one task merges, as far as a sample can tell.
+ROWS_A_RANGE = 250_000
 #: Rows sampled for each bound between the ranges of the index.
 SAMPLE_A_RANGE = 20
 
@@ -49,20 +55,30 @@ def with_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     """page_id, url, captured, payload (string), payload_bytes, payload_digest, record_type, refers_to.
 
     Of equal payloads of at least REVISIT_BYTES the one with the largest page_id is the response, the
-    others revisit it; rows that repeat that page_id are responses too. A null html is an empty payload,
-    a null page_id never is one that others refer to unless all are null. The digests are grouped with
-    partial sums, and only those that occur twice are joined back.
+    others revisit it; rows that repeat that page_id are responses too. A null html is an empty payload, a
+    null page_id never is one that others refer to unless all are null. captured is the second with the
+    number of the page_id (0 for null) after FIRST_CAPTURE, counted anew after CAPTURE_SPAN.
+
+    Only digests, sizes and ids are grouped, with partial sums. Payloads stay where they are read; if there
+    are too many repeated ones to broadcast, those that are long enough move once, by digest, and adaptive
+    execution can split a digest that many pages share. Short and empty ones never move.
     """
     rows = pages.select(F.col(f"`{key}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("payload"))
     sized = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "payload_digest": F.sha1(F.col("payload").cast("binary"))})
-    shared = (
-        sized.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy(F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_n"))
-        .agg(F.max("page_id").alias("_first"), F.count("*").alias("_c")).filter("_c > 1")
-    )
-    joined = sized.join(shared, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_n")), "left")
+    long = F.col("payload_bytes") >= REVISIT_BYTES
+    heads = stored(
+        sized.filter(long).groupBy(F.col("payload_digest").alias("_d"), F.col("payload_bytes").alias("_n")).agg(F.max("page_id").alias("_first"), F.count("*").alias("_c")).filter("_c > 1").select("_d", "_n", "_first"),
+        "heads",
+    )
+    same = (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") == F.col("_n"))
+    if heads.count() <= BROADCAST_HEADS:
+        joined = sized.join(F.broadcast(heads), same, "left")
+    else:
+        joined = sized.filter(long).join(heads.hint("merge"), same, "left").unionByName(sized.filter(~long), allowMissingColumns=True)
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
+    second = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(CAPTURE_SPAN)) + FIRST_CAPTURE
     return joined.select(
-        "page_id", "url", F.date_format(F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + FIRST_CAPTURE), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"), "payload",
+        "page_id", "url", F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"), "payload",
         "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"),
     )
 
@@ -95,21 +111,38 @@ def write_archives(records: DataFrame, path: str) -> None:
     lines.write.options(lineSep=RECORD_END, compression="gzip", maxRecordsPerFile=RECORDS_A_FILE).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
-    """Header fields (lower case), payload and offset of each record of an unpacked archive."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:stop].decode().split(LINE)
-        if first != VERSION:
-            raise ValueError(f"no record at {at}")
-        fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
-        begin = stop + 4
-        end = begin + int(fields["content-length"])
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at {at} has no end mark")
-        yield fields, data[begin:end], at
-        at = end + 4
+def parse(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, dict[str, str], bytes, int]]:
+    """Archive, header fields (lower case), payload and offset of each record, from what stands between end marks.
+
+    ``pieces`` are (archive, bytes) in order. A payload may hold the end mark itself, or part of one at its
+    end, so pieces are joined until Content-Length and the mark after it are reached.
+    """
+    mark = RECORD_END.encode()
+    name, at = None, 0
+    for name_, piece in pieces:
+        if name_ != name:
+            name, at = name_, 0
+        data = piece + mark
+        while data and data != mark:  # the mark alone was added to the end of the archive
+            stop = data.index(mark)
+            first, *lines = data[:stop].decode().split(LINE)
+            if first != VERSION:
+                raise ValueError(f"{name}: no record at {at}")
+            fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
+            begin, size = stop + len(mark), int(fields["content-length"])
+            parts, held = [data[begin:]], len(data) - begin
+            while held < size + len(mark):
+                name_, piece = next(pieces, (None, b""))
+                if name_ != name:
+                    raise ValueError(f"{name}: the record at {at} is cut off")
+                parts.append(piece + mark)
+                held += len(parts[-1])
+            data = b"".join(parts)
+            if data[size : size + len(mark)] != mark:
+                raise ValueError(f"{name}: the record at {at} has no end mark")
+            yield name, fields, data[:size], at
+            at += begin + size + len(mark)
+            data = data[size + len(mark) :]
 
 
 def _number(urn: str | None) -> int | None:
@@ -119,27 +152,30 @@ def _number(urn: str | None) -> int | None:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row a record with RECORD_FIELDS; digests of responses are checked against their payloads."""
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+        for batch in batches:
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("captured", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("archive", pa.string()), ("offset", pa.int64())])
-        for batch in batches:
-            for name, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = []
-                for f, payload, at in parse(zlib.decompress(packed, 31)):
-                    digest = f["warc-payload-digest"].removeprefix("sha1:").lower()
-                    size = int(f["x-payload-length"])
-                    if f["warc-type"] == "response":
-                        size, found = len(payload), hashlib.sha1(payload).hexdigest()
-                        if found != digest:
-                            raise ValueError(f"{name}: the payload at {at} does not have its digest")
-                    rows.append((_number(f["warc-record-id"]), f.get("warc-target-uri"), f["warc-date"], f["warc-type"], _number(f.get("warc-refers-to")), size, digest, payload, name, at))
-                    if len(rows) == 256:
-                        yield pa.record_batch([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
-                        rows = []
-                if rows:
-                    yield pa.record_batch([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, RECORD_FIELDS)
+        rows, held = [], 0
+        for name, f, payload, at in parse(pieces(batches)):
+            digest = f["warc-payload-digest"].removeprefix("sha1:").lower()
+            size = int(f["x-payload-length"])
+            if f["warc-type"] == "response":
+                size, found = len(payload), hashlib.sha1(payload).hexdigest()
+                if found != digest:
+                    raise ValueError(f"{name}: the payload at {at} does not have its digest")
+            rows.append((_number(f["warc-record-id"]), f.get("warc-target-uri"), f["warc-date"], f["warc-type"], _number(f.get("warc-refers-to")), size, digest, payload, name, at))
+            held += len(payload)
+            if len(rows) == 1024 or held >= BATCH_BYTES:
+                yield pa.record_batch([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
+                rows, held = [], 0
+        if rows:
+            yield pa.record_batch([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
+
+    lines = spark.read.option("lineSep", RECORD_END).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return lines.mapInArrow(run, RECORD_FIELDS)
 
 
 class LoserTree:
@@ -184,15 +220,17 @@ def _place(row: Sequence) -> tuple:
 def merged_index(records: DataFrame) -> DataFrame:
     """The records' index in global order of URL key, time and page, with each capture's place in its history.
 
-    An archive is a sorted run. The runs meet in tasks that own ranges of keys (a large URL key is cut by
-    time and page too), where a loser tree merges them; ``previous`` is the page captured before under the
+    An archive is a sorted run. The runs are cut at the bounds of ranges (a large URL key is cut by time
+    and page too), more of them the more rows there are, so that a task holds about ROWS_A_RANGE rows, in
+    columns; there a loser tree merges the runs' pieces. ``previous`` is the page captured before under the
     same key. The bounds of the ranges are fixed first, so that a task knows the last capture before its
     own from a table with one row a range. Only index fields move, never payloads.
     """
     index = stored(records.select(url_key(F.col("url")).alias("url_key"), "captured", "page_id", "record_type", "payload_digest", "payload_bytes", "refers_to", "archive", "offset"), "index")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema)
-    ranges = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = max(index.count(), 1)
+    usual = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(usual, -(-rows // ROWS_A_RANGE))
     sampled = sorted(map(_place, index.select("url_key", "captured", "page_id").sample(min(1.0, ranges * SAMPLE_A_RANGE / rows), 1).collect()))
     bounds = sorted({sampled[len(sampled) * k // ranges] for k in range(1, ranges)}) if sampled else []
 
@@ -204,15 +242,24 @@ def merged_index(records: DataFrame) -> DataFrame:
     parted = index.mapInArrow(dealt, f"{fields}, part int")
     last = sorted((r.part, r.last.url_key, r.last.page_id) for r in parted.groupBy("part").agg(F.max(F.struct("url_key", "captured", "page_id")).alias("last")).collect())
     ends = [part for part, _, _ in last]
-    ranged = parted.repartitionByRange("part").sortWithinPartitions("archive", "url_key", "captured", "page_id", "offset")
+    ranged = (parted.repartitionByRange(ranges, "part") if ranges > usual else parted.repartitionByRange("part")).sortWithinPartitions("archive", "url_key", "captured", "page_id", "offset")
+
+    def rows_of(parts: list[pa.RecordBatch]) -> Iterator[tuple]:
+        for part in parts:
+            for at in range(0, part.num_rows, 256):
+                yield from zip(*(c.to_pylist() for c in part.slice(at, 256).columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
+        """Runs stay in columns; only the rows under their cursors are taken out."""
+        runs: dict[str, list[pa.RecordBatch]] = {}
         schema = None
         for batch in batches:
             schema = batch.schema
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                runs.setdefault(row[7], []).append(row)
+            names = pc.run_end_encode(batch.column("archive"))
+            at = 0
+            for name, stop in zip(names.values.to_pylist(), names.run_ends.to_pylist()):
+                runs.setdefault(name, []).append(batch.slice(at, stop - at))
+                at = stop
         if schema is None:
             return
         out, before = [], None
@@ -221,7 +268,7 @@ def merged_index(records: DataFrame) -> DataFrame:
         def packed(rows: list[tuple]) -> pa.RecordBatch:
             return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-        for row in LoserTree([iter(r) for r in runs.values()], lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[8])):
+        for row in LoserTree([rows_of(r) for r in runs.values()], lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[8])):
             if before is None and (k := bisect_left(ends, row[-1])):
                 before = (last[k - 1][1], None, last[k - 1][2])
             out.append((*row[:-1], before[2] if before and before[0] == row[0] else None))
@@ -233,8 +280,3 @@ def merged_index(records: DataFrame) -> DataFrame:
             yield packed(out)
 
     return ranged.mapInArrow(run, f"{fields}, previous bigint")
-
-
-def digest_base32(hexadecimal: str) -> str:
-    """The spelling of a digest that other tools' indexes use."""
-    return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
