@@ -50,6 +50,31 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int
     )
 
 
+def _boundaries(rows: DataFrame, extras: DataFrame) -> DataFrame:
+    """_s, _bound, _k, _m for each source: the last (tag, size) of which rows are taken, how many of them, and of how many.
+
+    rows have _source, _tag and size, extras one row (_s, extra) a source. Rows are taken in order of tag
+    and size while the middle of their words lies within extra. Sums over buckets of the tag find the
+    bucket with the boundary; there equal rows are counted before any are put in order. A source has no
+    row here if extra is at least its size, or negative.
+    """
+    bucketed = rows.withColumn("_bucket", F.substring("_tag", 1, BUCKET_DIGITS))
+    buckets = bucketed.groupBy("_source", "_bucket").agg(F.sum("size").alias("_n"))
+    earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = buckets.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    edges = starts.join(extras, F.col("_source").eqNullSafe(F.col("_s"))).filter((F.col("_start") <= F.col("extra")) & (F.col("_start") + F.col("_n") > F.col("extra")))
+    edge = edges.select("_s", F.col("_bucket").alias("_b"), "_start", "extra")
+    inside = bucketed.join(edge, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).groupBy("_s", "_b", "_start", "extra", "_tag", "size").agg(F.count("*").alias("_m"))
+    within = Window.partitionBy("_s", "_b").orderBy("_tag", "size").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("extra") * 2 - F.col("_before") * 2 - F.col("size")  # what the first of the equal rows leaves, twice
+    fit = F.when(room < 0, 0).when(F.col("size") > 0, F.least(F.col("_m"), F.floor(room / (F.col("size") * 2)) + 1)).otherwise(F.col("_m")).cast("bigint")
+    placed = inside.withColumn("_before", F.col("_start") + F.coalesce(F.sum(F.col("size") * F.col("_m")).over(within), F.lit(0))).withColumn("_k", fit)
+    last = F.max(F.when(F.col("_k") > 0, F.struct("_tag", "size", "_k", "_m")))
+    none = F.struct(F.min("_b").alias("_tag"), F.lit(-1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("_k"), F.lit(0).cast("bigint").alias("_m"))
+    found = placed.groupBy("_s").agg(F.coalesce(last, none).alias("_last"))
+    return found.select("_s", F.struct("_last._tag", "_last.size").alias("_bound"), "_last._k", "_last._m")
+
+
 def water_filling(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED
 ) -> DataFrame:
@@ -57,40 +82,42 @@ def water_filling(
 
     A document's extra copy is taken while the middle of its words lies within what whole epochs leave of
     the target, in order of a seeded hash of its key, so a source misses its target by less than one
-    document. A null text has size 0; a null source is a source of its own, last in order; rows with equal
-    keys and sizes get equal copies. Columns of docs with the name of an added one are replaced.
-
-    What is taken of a source is a prefix of its seeded order, so one boundary a source decides. Sums over
-    buckets of the hash find the bucket that holds it, and only the rows of that bucket are put in order;
-    the documents themselves meet nothing but the table of boundaries, one row a source.
+    document. A null text has size 0; a null source is a source of its own, last in order. Of rows with
+    equal keys (null ones too) and sizes as many are taken as fit; which ones is left open, as are rows
+    that differ in nothing. An empty table gives no rows. Columns of docs with the name of an added one
+    are replaced, unless they are key, text or source.
+
+    What is taken of a source is a prefix of its seeded order, so one boundary a source decides; the
+    documents themselves meet nothing but the table of boundaries, one row a source. Only where a boundary
+    falls between rows of one key and size are these rows written apart and put in an order of their own.
     """
     added = ["size", "source_size", "target", "copies", "taken"]
     base = docs.drop(*[c for c in docs.columns if c in added and c not in (key, text, source)])
     tag = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null"))))
     sized = base.withColumns({"size": n_words(F.col(f"`{text}`")), "_tag": tag, "_source": F.col(f"`{source}`")})
-    narrow = stored(sized.select("_source", "_tag", "size", F.substring("_tag", 1, BUCKET_DIGITS).alias("_bucket")), "sizes")
-    buckets = narrow.groupBy("_source", "_bucket").agg(F.sum("size").alias("_n"))
-    sizes = buckets.groupBy(F.col("_source").alias("source")).agg(F.sum("_n").alias("source_size"))
+    narrow = stored(sized.select("_source", "_tag", "size"), "sizes")
+    sizes = narrow.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
-    plan = targets(sizes, weights, max_epochs).withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size")).alias("t")
-
-    earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).alias("b")
-    edges = starts.join(plan, F.col("b._source").eqNullSafe(F.col("t.source"))).filter((F.col("_start") <= F.col("extra")) & (F.col("_start") + F.col("_n") > F.col("extra")))
-    edge = edges.select(F.col("b._source").alias("_s"), F.col("_bucket").alias("_b"), "_start", "extra")
-    within = Window.partitionBy("_s", "_b").orderBy("_tag", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = narrow.join(edge, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn(
-        "_before", F.col("_start") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    )
-    taken = F.when(F.col("_before") * 2 + F.col("size") <= F.col("extra") * 2, F.struct("_tag", "size"))
-    bound = inside.groupBy("_s").agg(F.coalesce(F.max(taken), F.struct(F.min("_b").alias("_tag"), F.lit(-1).cast("bigint").alias("size"))).alias("_bound"))
-    # without an edge the rest of the target is nothing or all of the source
-    known = plan.join(bound, F.col("t.source").eqNullSafe(F.col("_s")), "left").select(F.col("t.source").alias("_from"), "source_size", "target", "whole", "extra", "_bound")
+    plan = stored(targets(sizes, weights, max_epochs).withColumn("_whole", whole).withColumn("_extra", F.col("target") - F.col("_whole") * F.col("source_size")), "targets")
+    bound = _boundaries(narrow, plan.select(F.col("source").alias("_s"), F.col("_extra").alias("extra")))
+    # without a boundary the rest of the target is nothing or all of the source
+    known = plan.join(bound, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_from"), "source_size", "target", "_whole", "_extra", "_bound", "_k", "_m")
     known = stored(known, "boundaries")
-    more = F.when(F.col("_bound").isNotNull(), F.struct("_tag", "size") <= F.col("_bound")).otherwise(F.col("extra") >= F.col("source_size")) & (F.col("extra") > 0)
-    return (
-        sized.join(known, F.col("_source").eqNullSafe(F.col("_from")))
-        .withColumn("copies", F.col("whole") + F.when(more, 1).otherwise(0))
-        .withColumn("taken", F.col("size") * F.col("copies"))
-        .select(*[F.col(f"`{c}`") for c in base.columns], *added)
-    )
+    met = sized.join(known, F.col("_source").eqNullSafe(F.col("_from")))
+    here = F.struct("_tag", "size")
+    more = F.when(F.col("_bound").isNotNull(), here <= F.col("_bound")).otherwise(F.col("_extra") >= F.col("source_size")) & (F.col("_extra") > 0)
+    tied = F.coalesce((F.col("_k") < F.col("_m")) & (here == F.col("_bound")), F.lit(False))
+    names = [F.col(f"`{c}`") for c in base.columns]
+
+    def taken(df: DataFrame, one_more: Column) -> DataFrame:
+        copies = df.withColumn("copies", F.col("_whole") + F.when(one_more, 1).otherwise(0))
+        return copies.withColumn("taken", F.col("size") * F.col("copies")).select(*names, *added)
+
+    if known.filter("_k < _m").isEmpty():
+        return taken(met, more)
+    ties = stored(met.filter(tied).withColumn("_row", F.monotonically_increasing_id()), "ties")
+    each = ties.withColumn("_tag", F.md5(F.concat(F.lit(f"{seed}:"), F.col("_row").cast("string"))))
+    quota = known.filter("_k < _m").select(F.col("_from").alias("_s"), F.col("_k").cast("double").alias("extra"))
+    first = _boundaries(each.select("_source", "_tag", F.lit(1).cast("bigint").alias("size")), quota).select("_s", F.col("_bound._tag").alias("_until"))
+    chosen = each.drop("_bound").join(stored(first, "boundaries"), F.col("_source").eqNullSafe(F.col("_s")), "left")
+    return taken(met.filter(~tied), more).unionByName(taken(chosen, F.coalesce(F.col("_tag") <= F.col("_until"), F.lit(False))))
