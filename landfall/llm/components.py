@@ -8,9 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
 MAX_ROUNDS = 60
+#: From this many links on the smallest neighbours are written before they are joined, so that both sides
+#: are plain reads and adaptive execution can split a node with very many links over tasks.
+SPLIT_LINKS = 5_000_000
 
 
 def forest(pairs: Iterator[tuple[int, int]]) -> dict[int, int]:
@@ -49,13 +52,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     edges = stored(edges.mapInArrow(_contracted, "u bigint, v bigint").distinct(), "links")
     seen = None
+    plain = (lambda df: df) if edges.count() < SPLIT_LINKS else (lambda df: stored(df, "lowest"))
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        lowest = plain(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = plain(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stored(small.select("e.*").filter("u <> v").distinct(), "links")
+        before, edges = edges, stored(small.select("e.*").filter("u <> v").distinct(), "links")
+        released(before)
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break

@@ -73,10 +73,10 @@ from p left join g on p.d = g.d and p.n = g.n
 
 op4_embeddings = f"""
 with recursive v as (
-  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  select distinct vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
   where vec_id is not null and label is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
-l as (select a.vec_id as u, b.vec_id as v from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+l as (select a.vec_id as u, b.vec_id as v from v a join v b on a.label = b.label and (a.vec_id <> b.vec_id or a.e <> b.e) and len(a.e) = len(b.e)
   where list_cosine_similarity(a.e, b.e) >= {vectors.COSINE}),
 r as (select u as node, u as seen from l union select r.node, l.v from r join l on r.seen = l.u),
 c as (select node, min(seen) as component from r group by node),

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,8 @@ GRID_DIMS, BOX_DIMS = 4, 16
 #: Rows of an interval of the order that is joined as one, and of the parts that are compared in full.
 INTERVAL, LEAF = 1024, 128
 
-BLOCK = "block string, label string, cell0 bigint, cell1 bigint, low array<double>, high array<double>, rows int, ids binary, vectors binary, places binary"
+PLACED = "vec_id bigint, label string, high bigint, low bigint, cells array<bigint>, vector binary, place binary"
+BLOCK = "block string, label string, cell0 bigint, cell1 bigint, low array<double>, high array<double>, rows int, ids binary, copies binary, vectors binary, places binary"
 
 
 def unit_rows(vectors: list) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -95,12 +97,15 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     """vec_id, n_links, component_id, kept for every row.
 
     Only vectors of one label (not null) and one dimension are compared; those that are null, empty, zero
-    or hold null or non-finite components link with nothing. n_links counts the other rows linked directly,
-    component_id is the smallest vec_id reachable, kept is vec_id = component_id. Equal vectors are rows of
-    their own and link; rows of one vec_id share its component, a null vec_id takes no part and is kept.
-
-    A task joins two intervals. It hands on counts for each vector and a forest of the links, never the
-    pairs, so a group of m copies gives rows in proportion to m.
+    or hold null or non-finite components link with nothing. n_links counts the other vectors linked
+    directly, where a vec_id with the same direction and label again is the same vector, so a repeated row
+    adds no link. component_id is the smallest vec_id reachable, kept is vec_id = component_id. Rows of one
+    vec_id share its component and the sum of its different vectors' links. A null vec_id takes no part and
+    is kept; an empty table gives no rows; other columns are not read.
+
+    Equal vectors fall together first, by digests and partial sums, and stand in the join as one with their
+    number. A task joins two intervals and hands on counts for each vector and a forest of the links, never
+    the pairs, so a group of copies gives rows in proportion to its size.
     """
     source = vectors.select(F.col(f"`{key}`").cast("bigint").alias("vec_id"), F.col(f"`{embedding}`").alias("embedding"), F.col(f"`{label}`").cast("string").alias("label"))
     usable = source.filter("vec_id is not null and label is not null and embedding is not null")
@@ -118,19 +123,23 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
             spots = [r @ directions if len(r) == dims else np.zeros(directions.shape[1]) for r in rows]
             cells = np.floor(np.array(spots)[:, :GRID_DIMS] / side).astype(np.int64) if len(rows) else np.zeros((0, GRID_DIMS), np.int64)
             tags = pa.array([f"{x}/{w}" for x, w in zip(labels.to_pylist(), widths)], pa.string())
+            packed = [np.asarray(r + 0.0, "<f8").tobytes() for r in rows]  # no negative zeros
+            digests = [xxhash.xxh3_128_intdigest(x) for x in packed]
+            longs = lambda x: pa.array(np.array(x, np.uint64).astype(np.int64))
             yield pa.record_batch(
-                [pa.array(ids), tags, pa.array(list(cells), pa.list_(pa.int64())), pa.array([np.asarray(r, "<f8").tobytes() for r in rows], pa.binary()), pa.array([np.asarray(s, "<f8").tobytes() for s in spots], pa.binary())],
-                names=["vec_id", "label", "cells", "vector", "place"],
+                [pa.array(ids), tags, longs([d >> 64 for d in digests]), longs([d & 0xFFFFFFFFFFFFFFFF for d in digests]), pa.array(list(cells), pa.list_(pa.int64())), pa.array(packed, pa.binary()), pa.array([np.asarray(s, "<f8").tobytes() for s in spots], pa.binary())],
+                names=["vec_id", "label", "high", "low", "cells", "vector", "place"],
             )
 
     def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Consecutive rows of one label, up to INTERVAL and within one first cell, as one row."""
         part, count, held = TaskContext.get().partitionId(), 0, []
-        schema = pa.schema([("block", pa.string()), ("label", pa.string()), ("cell0", pa.int64()), ("cell1", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("rows", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("places", pa.binary())])
+        schema = pa.schema([("block", pa.string()), ("label", pa.string()), ("cell0", pa.int64()), ("cell1", pa.int64()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("rows", pa.int32()), ("ids", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary()), ("places", pa.binary())])
 
         def packed() -> pa.RecordBatch:
-            spots = np.array([np.frombuffer(r[4], "<f8") for r in held])
-            row = (f"{part:08d}-{count:08d}", held[0][1], held[0][2][0], held[-1][2][0], spots.min(axis=0), spots.max(axis=0), len(held), np.array([r[0] for r in held], "<i8").tobytes(), b"".join(r[3] for r in held), b"".join(r[4] for r in held))
+            spots = np.array([np.frombuffer(r[5], "<f8") for r in held])
+            numbers = [np.array([r[k] for r in held], "<i8").tobytes() for k in (0, 3)]
+            row = (f"{part:08d}-{count:08d}", held[0][1], held[0][2][0], held[-1][2][0], spots.min(axis=0), spots.max(axis=0), len(held), *numbers, b"".join(r[4] for r in held), b"".join(r[5] for r in held))
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
@@ -144,21 +153,25 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for own, ids_a, vec_a, spot_a, ids_b, vec_b, spot_b in zip(*(c.to_pylist() for c in batch.columns)):
-                load = lambda ids, vec, spot: (np.frombuffer(ids, "<i8"), np.frombuffer(vec, "<f8").reshape(len(ids) // 8, -1), np.frombuffer(spot, "<f8").reshape(len(ids) // 8, -1))
-                (ia, va, sa), (ib, vb, sb) = load(ids_a, vec_a, spot_a), load(ids_b, vec_b, spot_b)
+            for own, ids_a, num_a, vec_a, spot_a, ids_b, num_b, vec_b, spot_b in zip(*(c.to_pylist() for c in batch.columns)):
+                load = lambda ids, num, vec, spot: (np.frombuffer(ids, "<i8"), np.frombuffer(num, "<i8"), np.frombuffer(vec, "<f8").reshape(len(ids) // 8, -1), np.frombuffer(spot, "<f8").reshape(len(ids) // 8, -1))
+                (ia, na, va, sa), (ib, nb, vb, sb) = load(ids_a, num_a, vec_a, spot_a), load(ids_b, num_b, vec_b, spot_b)
                 parts = links_between(va, vb, sa, sb, cosine, own)
                 if not parts:
                     continue
                 i, j = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-                counts = np.bincount(i, minlength=len(ia)), np.bincount(j, minlength=len(ib))
+                counts = np.bincount(i, nb[j], len(ia)).astype(np.int64), np.bincount(j, na[i], len(ib)).astype(np.int64)
                 top = forest(zip(ia[i].tolist(), ib[j].tolist()))
-                nodes = [ia[counts[0] > 0], ib[counts[1] > 0]]
-                linked, number = np.concatenate(nodes), np.concatenate([c[c > 0] for c in counts])
-                yield pa.record_batch([pa.array(linked), pa.array([top[x] for x in linked.tolist()], pa.int64()), pa.array(number.astype(np.int64))], names=["vec_id", "root", "links"])
-
-    rows = usable.mapInArrow(placed, "vec_id bigint, label string, cells array<bigint>, vector binary, place binary")
-    ordered = rows.repartitionByRange("label", "cells", "vec_id").sortWithinPartitions("label", "cells", "vec_id")
+                linked, number = np.concatenate([ia[counts[0] > 0], ib[counts[1] > 0]]), np.concatenate([c[c > 0] for c in counts])
+                yield pa.record_batch([pa.array(linked), pa.array([top[x] for x in linked.tolist()], pa.int64()), pa.array(number)], names=["class", "root", "links"])
+
+    placed_rows = stored(usable.mapInArrow(placed, PLACED), "placed")
+    members = placed_rows.select("vec_id", "label", "high", "low").distinct()
+    sizes = members.groupBy("label", "high", "low").agg(F.count("*").alias("copies"))
+    one_each = placed_rows.groupBy("label", "high", "low").agg(F.first("cells").alias("cells"), F.first("vector").alias("vector"), F.first("place").alias("place"))
+    classes = stored(one_each.join(sizes, ["label", "high", "low"]).withColumn("class", F.monotonically_increasing_id()), "classes")
+    rows = classes.select("class", "label", "cells", "copies", "vector", "place")
+    ordered = rows.repartitionByRange("label", "cells", "class").sortWithinPartitions("label", "cells", "class")
     blocks = stored(ordered.mapInArrow(blocked, BLOCK), "blocks")
     # a block lies in one first cell; partners are in the same one or the next
     box = blocks.select("block", "label", F.col("cell0").alias("cell"), "low", "high")
@@ -170,14 +183,23 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
         box.join(other, ["label", "cell"]).filter((F.col("own_cell") > F.col("cell")) | (F.col("block") <= F.col("block_b")))
         .filter(gap <= 2 - 2 * cosine + 1e-9).select("block", "block_b")
     )
-    data = blocks.select("block", "ids", "vectors", "places")
-    data_b = data.select(F.col("block").alias("block_b"), F.col("ids").alias("ids_b"), F.col("vectors").alias("vectors_b"), F.col("places").alias("places_b"))
-    work = pairs.join(data, "block").join(data_b, "block_b").select((F.col("block") == F.col("block_b")).alias("own"), "ids", "vectors", "places", "ids_b", "vectors_b", "places_b")
-    found = stored(work.mapInArrow(joined, "vec_id bigint, root bigint, links bigint"), "links")
-    counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    groups = connected_components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
+    columns = ("ids", "copies", "vectors", "places")
+    data = blocks.select("block", *columns)
+    data_b = data.select(*[F.col(c).alias(f"{c}_b") for c in ("block", *columns)])
+    work = pairs.join(data, "block").join(data_b, "block_b").select((F.col("block") == F.col("block_b")).alias("own"), *columns, *[f"{c}_b" for c in columns])
+    found = stored(work.mapInArrow(joined, "class bigint, root bigint, links bigint"), "links")
+    # from classes of equal vectors back to ids; the few ids with several vectors tie their classes together
+    counts = found.groupBy("class").agg(F.sum("links").alias("links"))
+    own = members.join(classes.select("label", "high", "low", "class", "copies"), ["label", "high", "low"]).join(counts, "class", "left")
+    each = stored(own.select("vec_id", "class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "members")
+    by_id = each.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("class").alias("class"), F.max("class").alias("last"))
+    several = each.join(by_id.filter("class <> last").select("vec_id", F.col("class").alias("top")), "vec_id").select(F.col("class").alias("u"), F.col("top").alias("v"))
+    links = found.select(F.col("class").alias("u"), F.col("root").alias("v")).unionByName(several)
+    groups = stored(connected_components(links).select(F.col("node").alias("class"), F.col("component").alias("group")), "groups")
+    least = each.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class")).groupBy("group").agg(F.min("vec_id").alias("component"))
+    placed_ids = by_id.join(groups, "class", "left").withColumn("group", F.coalesce("group", "class")).join(least, "group").select("vec_id", "n_links", "component")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return (
-        everyone.join(counts, "vec_id", "left").join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+        everyone.join(placed_ids, "vec_id", "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
     )
