@@ -48,8 +48,27 @@ def test_run_is_by_hand(spark, tmp_path):
 
 
 def test_stages_keep_the_columns(spark):
-    docs = spark.createDataFrame([], DOCS).select("doc_id", "text", "lang", "source", "n_chars").withColumn("n_chars", F.col("n_chars"))
+    """Columns with the names that operators add keep their values, in tables with and without rows."""
+    clashing = {"kept": "k", "size": 5, "target": 0.5, "copies": 9, "clean_text": "own", "n_words": -1, "taken": "t", "component_id": 3, "whole": "w", "extra": "e", "_doc": 1, "removed": "r", "lost_percent": "l"}
+    rows = {r[0]: r for r in corpus() if r[0] is not None}.values()
+    docs = spark.createDataFrame([tuple(r[:5]) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs = docs.withColumns({c: F.lit(v) for c, v in clashing.items()})
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs_out = stage(spark, docs, "")
-        assert docs_out.columns == docs.columns, name
-        assert docs_out.count() == 0
+        out = stage(spark, docs, "")
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        assert out.count() > 0 and out.select(*clashing).distinct().count() == 1, name
+        assert out.select(*clashing).first().asDict() == clashing, name
+        assert out.filter(F.length("text") != F.col("n_chars")).count() == 0 or name == "minhash_near_dedup"
+        none = stage(spark, docs.limit(0), "")
+        assert none.columns == docs.columns and none.count() == 0, name
+
+
+def test_hot_rows_and_long_texts(spark):
+    """A source, copies and rows of one id that hold most rows, and a text of a million words."""
+    rows = [(i, "copy of one text " * 30, "a") for i in range(40)] + [(100, " ".join(f"w{k % 5000}.{k}" for k in range(300_000)) + ".", "b"), (None, None, None), (7, "", "a"), (7, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, "").collect()
+        assert all(r.doc_id is None or r.text is not None for r in out), name
+        if name == "minhash_near_dedup":
+            assert sorted(r.doc_id for r in out if r.doc_id is not None) == [0, 7, 7, 100]
