@@ -24,8 +24,8 @@ SHINGLE_WORDS = 5
 PERCENT = 85
 #: At 85 % a pair shares no band with a probability under one in a million.
 BANDS, ROWS = 30, 6
-#: A shingle that more documents hold than this is not used to pair them.
-HOT = 16
+#: Differences that share at least NEAR of their tokens agree in a band of them but for a probability under one in a million.
+NEAR, NEAR_BANDS, NEAR_ROWS = 0.65, 72, 4
 
 _CHUNK = 1 << 16
 
@@ -61,9 +61,9 @@ def signature(found: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     return low
 
 
-def band_keys(low: np.ndarray) -> np.ndarray:
+def band_keys(low: np.ndarray, width: int = ROWS) -> np.ndarray:
     """One 64-bit key a band, different for different bands."""
-    rows = low.reshape(-1, ROWS).astype(np.uint64)
+    rows = low.reshape(-1, width).astype(np.uint64)
     key = np.arange(1, len(rows) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(rows.shape[1]):
         key = mix64(key ^ rows[:, k])
@@ -88,13 +88,37 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array([shingles(w).tobytes() for w in hashed_words(batch.column(1), lower=True)], pa.binary())], names=["node", "shingles"])
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(head, node, component, a, b): what only one of the two sets holds, with a number for the set a."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+        diffs = [np.setxor1d(x, np.frombuffer(y, np.int64)).tobytes() for x, y in zip(sets, batch.column(4).to_pylist())]
+        items = [xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
+        yield pa.record_batch([*batch.columns[:3], pa.array(items, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(diffs, pa.binary())], names=["head", "node", "component", "item", "n", "diff"])
+
+
+def _centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., diff, most): what only one of diff and the list of most tokens (or null) holds."""
+    for batch in batches:
+        diffs = [np.setxor1d(np.frombuffer(x, np.int64), np.array(y or [], np.int64)) for x, y in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist())]
+        yield pa.record_batch([*batch.columns[:5], pa.array([d.tobytes() for d in diffs], pa.binary()), pa.array([len(d) for d in diffs], pa.int64())], names=["head", "node", "component", "item", "n", "diff", "s"])
+
+
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(head, node, item, tokens) with a row for each token."""
+    for batch in batches:
+        found = [np.frombuffer(x, np.int64) for x in batch.column(3).to_pylist()]
+        times = [len(x) for x in found]
+        columns = [*(np.repeat(batch.column(k).to_numpy(), times) for k in range(3)), np.concatenate(found) if found else np.zeros(0, np.int64)]
+        for at in range(0, len(columns[3]), 1 << 18):
+            yield pa.record_batch([pa.array(x[at : at + (1 << 18)]) for x in columns], names=["head", "node", "item", "token"])
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., tokens) with the band keys of the tokens."""
     for batch in batches:
-        found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-        nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
-        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-        for at in range(0, len(flat), 1 << 18):
-            yield pa.record_batch([pa.array(nodes[at : at + (1 << 18)]), pa.array(flat[at : at + (1 << 18)])], names=["node", "shingle"])
+        keys = [band_keys(signature(np.array(x, np.int64).view(np.uint64), NEAR_BANDS * NEAR_ROWS), NEAR_ROWS) for x in batch.column(5).to_pylist()]
+        yield pa.record_batch([*batch.columns[:5], pa.array(keys, pa.list_(pa.int64()))], names=["head", "node", "component", "u", "v", "keys"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +139,76 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b").mapInArrow(_compared, "x bigint, y bigint, shared bigint, nx bigint, ny bigint")
 
 
+def _merged(near: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Components (node, component) with the links among pairs (x, y) added."""
+    tested = _verified(pairs, sets)
+    more = tested.filter(f"shared * 100 >= (nx + ny - shared) * {percent}").select(F.col("x").alias("u"), F.col("y").alias("v"))
+    return stored(connected_components(near.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
+
+
+def _apart(apart: DataFrame, sets: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Components with the links between documents that share a bucket's head (head, node, component).
+
+    The documents of a head often have most in common, so they are told apart by their differences from
+    what most of them hold: of two sets x and y with differences d(x) and d(y) from one centre, as many
+    shingles stand in one only as tokens stand in one of d(x) and d(y) only. With
+    v(x) = |d(x)| - |x| (100 - percent) / (100 + percent) they link if and only if d(x) and d(y) share
+    (v(x) + v(y)) / 2 tokens or more. Tokens that one document alone holds cannot be shared. Hence
+
+    * pairs with v(x) + v(y) <= 0 all link, and are in one component with the least v's document,
+    * pairs that must share at least NEAR of their tokens agree in a band of MinHash values of these; in
+      each such bucket all are compared with one first, then those that are still apart with each other,
+    * other pairs share a token among the rarest of each, as many as v leaves, and are found by these.
+    """
+    if apart.isEmpty():
+        return near
+    rho = (100 - percent) / (100 + percent)
+    several = stored(apart.groupBy("head").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("head"), "heads")
+    centre = sets.join(several.select(F.col("head").alias("node")), "node").groupBy(F.col("node").alias("head")).agg(F.min("shingles").alias("b"))  # any set will do
+    whole = apart.join(several, "head").join(sets.select("node", F.col("shingles").alias("a")), "node").join(centre, "head").select("head", "node", "component", "a", "b")
+    kinds = "head bigint, node bigint, component bigint, item bigint, n bigint, diff binary"
+    first = stored(whole.mapInArrow(_differences, kinds).dropDuplicates(["head", "node", "item"]), "differences")
+    exploded = lambda df: df.select("head", "node", "item", "diff").mapInArrow(_exploded, "head bigint, node bigint, item bigint, token bigint")
+    number = first.groupBy("head").agg(F.count("*").alias("nodes"))
+    held = exploded(first).groupBy("head", "token").agg(F.count("*").alias("held"))
+    most = stored(held.join(number, "head").filter("held * 2 > nodes").groupBy("head").agg(F.collect_list("token").alias("most")), "most")  # no longer than two sets
+    centred = stored(first.join(most, "head", "left").select(*first.columns, "most").mapInArrow(_centred, f"{kinds}, s bigint"), "centred")
+    tokens = stored(exploded(centred), "tokens")
+    common = stored(tokens.groupBy("head", "token").agg(F.count("*").alias("held")).filter("held > 1"), "common")
+    lists = tokens.join(common, ["head", "token"]).groupBy("head", "node", "item").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("t"))
+    v = F.col("s") - F.col("n") * rho
+    least = centred.groupBy("head").agg(F.min(F.struct(v.alias("v"), "node")).alias("l"))
+    t = F.coalesce("t", F.array().cast("array<struct<held:bigint,token:bigint>>"))
+    placed = stored(
+        centred.join(lists, ["head", "node", "item"], "left").join(least, "head")
+        .select("head", "node", "component", "s", F.size(t).alias("u"), v.alias("v"), (F.col("n") * rho).alias("reach"), F.col("l.v").alias("v_least"), F.col("l.node").alias("nearest"), t.alias("t")),
+        "placed",
+    )
+    sure = placed.filter("node <> nearest and v + v_least <= 1e-6").select(F.col("node").alias("x"), F.col("nearest").alias("y"))
+    banded = placed.filter("u > 0").select("head", "node", "component", "u", "v", F.col("t.token").alias("t")).mapInArrow(_banded, "head bigint, node bigint, component bigint, u int, v double, keys array<bigint>")
+    buckets = stored(banded.select("*", F.explode("keys").alias("key")).drop("keys"), "buckets")
+    tops = stored(buckets.groupBy("head", "key").agg(F.min("node").alias("top"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("head", "key", "top"), "tops")
+    stars = buckets.join(tops, ["head", "key"]).filter("node <> top").select(F.col("node").alias("x"), F.col("top").alias("y"))
+    near = _merged(near, sure.unionByName(stars).distinct(), sets, percent)
+
+    now = near.select("node", F.col("component").alias("now"))
+    fresh = lambda df: df.join(now, "node", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+    twin = lambda df, *keys: df.select(*keys, *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "u", "v")])
+    need = "(v_x + v) / 2"
+    could = f"component_x <> component and v_x + v > 0 and {need} <= least(u_x, u) + 1e-6"
+    share = f"{need} / (u_x + u - {need})"
+    again = stored(fresh(buckets.join(tops, ["head", "key"]).drop("top")), "buckets")
+    unlike = stored(again.groupBy("head", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("head", "key"), "unlike")
+    rest = again.join(unlike, ["head", "key"])
+    paired = twin(rest, "head", "key").join(rest, ["head", "key"]).filter(f"node_x < node and {could} and {share} >= {NEAR} - 1e-6")
+    listed = fresh(placed).select("*", F.posexplode("t").alias("i", "e")).withColumns({"token": F.col("e.token"), "rank": F.col("i") + 1 + F.col("s") - F.col("u")})
+    probes = listed.filter("rank <= s - greatest(1, ceil((v + v_least) / 2 - 1e-6)) + 1")
+    index = listed.filter("rank <= floor(reach + 1e-6) + 1").select("head", "token", "node", "component", "u", "v")
+    found = twin(probes, "head", "token").join(index, ["head", "token"]).filter(f"(v_x > v or v_x = v and node_x > node) and {could} and {share} < {NEAR}")
+    pairs = paired.select("node_x", "node").unionByName(found.select("node_x", "node"))
+    return _merged(near, pairs.select(F.greatest("node_x", "node").alias("x"), F.least("node_x", "node").alias("y")).distinct(), sets, percent)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -124,12 +218,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     component_id and is kept. Other columns of docs are not read.
 
     Equal sets fall together first, by a digest with partial aggregation, so groups of copies never meet.
-    In each band's bucket every member is compared with the one that shares most buckets with others. For
-    what is then still apart, shingles held by more than HOT of these documents are set aside: the others
-    are counted for each pair through lists of at most HOT documents, and a pair is tested if that count
-    and the hot shingles together could make a link. Pairs that share hot shingles alone are tested where
-    both consist of these nearly throughout, and no bound through the bucket's head excludes them. So
-    every candidate pair is tested, ruled out by a bound or already in one component.
+    In each band's bucket every member is compared with the one that shares most buckets with others, the
+    bucket's head. What is then still apart goes by ``_apart``: every candidate pair is tested, ruled out
+    by a bound or already in one component. An empty table gives no rows; texts are read whole.
     """
     source = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = stored(source.mapInArrow(_signed, "doc_id bigint, n_shingles bigint, high bigint, low bigint, bands array<bigint>"), "signatures")
@@ -151,36 +242,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     links = first.filter(linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
     near = stored(connected_components(links), "components")
 
-    # what is still apart within a bucket
-    away = first.select(F.col("x").alias("node"), F.col("y").alias("head"), (1 - F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared"))).alias("far"))
     labelled = members.join(near, "node", "left").select("key", "node", "n", "head", F.coalesce("component", "node").alias("component"))
     split = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
-    apart = stored(labelled.join(split, "key").join(away, ["node", "head"], "left").select("key", "node", "n", "head", "component", "far"), "apart")
-    nodes = apart.select("node", "n", "component").distinct()
-    single = stored(sets.join(nodes, "node").select("node", "shingles").mapInArrow(_exploded, "node bigint, shingle bigint"), "shingles")
-    held = single.groupBy("shingle").agg(F.count("*").alias("held")).filter("held > 1")
-    tagged = stored(single.join(held, "shingle"), "tagged")
-    hot = tagged.filter(F.col("held") > HOT).groupBy("node").agg(F.count("*").alias("hot"))
-    weighed = stored(nodes.join(hot, "node", "left").select("node", "n", "component", F.coalesce("hot", F.lit(0)).alias("hot")), "weighed")
-    could = f"({{0}}) * {100 + percent} >= (n_x + n) * {percent} and least(n_x, n) * 100 >= greatest(n_x, n) * {percent} and component_x <> component"
-    right = tagged.filter(F.col("held") <= HOT).select("shingle", "node")
-    left = right.withColumnRenamed("node", "x")
-    counted = left.join(right, "shingle").filter("x < node").groupBy("x", "node").agg(F.count("*").alias("common"))
-    by_x = weighed.select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("hot").alias("hot_x"), F.col("component").alias("component_x"))
-    rare = counted.join(weighed, "node").join(by_x, "x").filter(could.format("common + least(hot_x, hot)")).select("x", F.col("node").alias("y"))
-    width = 1 - percent / 100
-    full = apart.filter("node <> head").join(weighed.filter(f"hot * 100 >= n * {percent}").select("node", "hot"), "node").withColumn("cell", F.floor(F.col("far") / width))
-    ours = full.select(*[F.col(c).alias(f"{c}_x") for c in ("node", "n", "component", "far", "hot")], "key", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    alike = (
-        ours.join(full, ["key", "cell"])
-        .filter((F.col("node_x") < F.col("node")) & (F.abs(F.col("far_x") - F.col("far")) <= width + 1e-9))
-        .filter(could.format("least(hot_x, hot)"))
-        .select(F.col("node_x").alias("x"), F.col("node").alias("y"))
-    )
-    rest = rare.unionByName(alike).distinct()
-    second = stored(_verified(rest, sets), "verified")
-    more = second.filter(linked).select(F.col("x").alias("u"), F.col("y").alias("v"))
-    final = stored(connected_components(near.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
+    apart = labelled.filter("node <> head").join(split, "key").select("head", "node", "component").distinct()
+    final = _apart(stored(apart, "apart"), sets, near, percent)
     placed = classes.select("high", "low", "node").join(final, "node", "left").select("high", "low", F.coalesce("component", "node").alias("component"))
     everyone = signed.select("doc_id", "n_shingles", "high", "low").join(placed, ["high", "low"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("component"), F.col("doc_id")))
