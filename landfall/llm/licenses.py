@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 from heapq import heappop, heappush
 from itertools import islice
 from math import ceil, floor
@@ -23,6 +23,8 @@ from .license_texts import TEXTS
 
 #: Units from this coefficient on match a template.
 DICE = 0.8
+#: Templates of up to so many bigrams are notices: a unit must have all their words with digits, which tell versions apart.
+NOTICE = 100
 #: Notices by which texts state their licence, and full texts. More templates can be given as a parameter.
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
@@ -35,16 +37,34 @@ TEMPLATES: dict[str, list[str]] = {
         "Released under the Apache License 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     ],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "Licensed under the BSD 2-Clause License."],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Licensed under the BSD 3-Clause License."],
+    "GPL-2.0": ["Released under the GNU General Public License v2.0.", "This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
     "GPL-3.0": ["Released under the GNU General Public License v3.0.", "This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["Released under the GNU Lesser General Public License v2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["Released under the GNU Lesser General Public License v3.0.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["Released under the GNU Affero General Public License v3.0.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
-    "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
-    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+#: What the versions of the Creative Commons licences are called.
+COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+COMMONS_VERSIONS = {"2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+TEMPLATES |= {
+    f"CC-{short}-{version}": [f"This work is licensed under a Creative Commons {long} {version} {area} License.", f"Licensed under CC {short} {version}."]
+    for short, long in COMMONS.items() for version, area in COMMONS_VERSIONS.items()
+}
+#: The Affero licence is the GNU GPL of version 3 by another name, but for its preamble and section 13.
+AFFERO = (
+    "13. Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer "
+    "all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access "
+    "to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software. This Corresponding Source shall include the Corresponding "
+    "Source for any work covered by version 3 of the GNU General Public License that is incorporated pursuant to the following paragraph."
+)
+_before, _after = (re.sub(r"(?<!Affero )General Public License", "Affero General Public License", part, flags=re.I) for part in TEXTS["GPL-3.0"].split("13. Use with the GNU Affero General Public License."))
+TEXTS = TEXTS | {"AGPL-3.0": _before + AFFERO + _after}
 TEMPLATES = {name: [*notices, *([TEXTS[name]] if name in TEXTS else [])] for name, notices in TEMPLATES.items()}
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 COPYRIGHT = re.compile(r"^\W*(?:copyright|\(c\)|©).*$", re.I | re.M)
@@ -75,6 +95,10 @@ class Scanner:
             for gram in grams:
                 self.holders.setdefault(gram, []).append(k)
         self.single = any(not b for _, b in self.holders)
+        self.versions = [{w for gram in grams for w in gram if any(map(str.isdigit, w))} if n <= NOTICE else set() for _, grams, n in self.templates]
+
+    def _versioned(self, k: int, grams: Iterable[tuple[str, str]]) -> bool:
+        return self.versions[k] <= {w for gram in grams for w in gram}
 
     def best(self, text: str) -> tuple[float, str] | None:
         """The best template of one unit, the first by name of equal ones."""
@@ -86,7 +110,7 @@ class Scanner:
         if not self.low <= size <= self.high:
             return None
         bound = self.threshold / (2 - self.threshold)
-        found = [(dice(grams, g), name) for name, g, n in self.templates if bound * n <= size <= n / bound]
+        found = [(dice(grams, g), name) for k, (name, g, n) in enumerate(self.templates) if bound * n <= size <= n / bound and self._versioned(k, grams)]
         found = [x for x in found if x[0] >= self.threshold]
         return min(found, key=lambda x: (-x[0], x[1])) if found else None
 
@@ -97,6 +121,9 @@ class Scanner:
         by what the widest run from there has of the template, until that cannot beat the best.
         """
         _, need, n = self.templates[k]
+        versions = self.versions[k]
+        if not self._versioned(k, grams):
+            return self.threshold, []
         least, widest = self.least[k], self.widest[k]
         begins: list[tuple[int, int]] = []
         have = dict.fromkeys(need, 0)
@@ -117,14 +144,16 @@ class Scanner:
                 break
             if runs and at[a] <= runs[-1][1] and 2.0 * -most / (n - most) <= best:
                 continue
-            have, common = {}, 0
+            have, common, lacking = {}, 0, set(versions)
             for b in range(a, len(at)):
                 size = at[b] - at[a] + 1
                 if size > widest:
                     break
                 have[grams[b]] = seen = have.get(grams[b], 0) + 1
                 common += seen <= need[grams[b]]
-                if common >= least and (score := 2.0 * common / (size + n)) >= best:
+                if lacking:
+                    lacking.difference_update(grams[b])
+                if not lacking and common >= least and (score := 2.0 * common / (size + n)) >= best:
                     if score > best:
                         best, runs = score, [(at[a], at[b])]
                     elif not runs or at[a] > runs[-1][1]:
