@@ -122,8 +122,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str
 
     Columns of the files: doc_id, ids (array of int), n_tokens, part and offset (the ids before the
     document within its file). A null or empty text has the end id alone. Rows with equal keys stay next
-    to each other in order of their texts; null keys come first; other columns of docs are not read. An
-    empty table gives files without rows.
+    to each other in order of their texts; null keys come first; other columns of docs are not read.
+    Texts are encoded whole, however long. An empty table gives files without rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -239,8 +239,9 @@ class Scanner:
 def license_scan(docs: DataFrame, templates: Mapping[str, list[str]] = TEMPLATES, threshold: float = DICE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, license (best match or null), dice (double, 0 without one), line (bigint) and n_licenses for every row.
 
-    All runs of words are scanned; line is where the best one begins, 0 if it is the whole text. Null and empty texts match nothing; ties go to the name that
-    comes first; rows stand for themselves, whatever their key; other columns are not read.
+    All runs of words are scanned, in texts of any length; line is where the best one begins, 0 if it is
+    the whole text. Null and empty texts match nothing; ties go to the name that comes first; rows stand
+    for themselves, whatever their key; an empty table gives no rows; other columns are not read.
     """
     source = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     chosen = {k: list(v) for k, v in templates.items()}

@@ -105,7 +105,8 @@ def line_first_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     lost_percent (double; 0 for a text without words) and clean_text (the text without failing lines).
     A null text counts as empty: it has no words, fails the base rule and has a null clean_text. Columns
     of docs stay, except those that have the name of an added one, which are replaced. Each row is
-    judged alone, so repeated rows and null keys make no difference.
+    judged alone and whole, however long, so repeated rows and null keys make no difference; an empty
+    table gives no rows.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_percent", "clean_text"]
     source = docs.drop(*[c for c in docs.columns if c in added and c != text])

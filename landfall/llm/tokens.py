@@ -256,8 +256,8 @@ def byte_bpe(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
 
     Returns key, ids_le (the ids as little-endian unsigned 32-bit integers, binary) and decoded (string,
     made from the ids alone). A null or empty text has no ids and decodes to the empty text; rows with
-    equal or null keys each give a row; other columns of docs are not read. Use ``ids_array`` for ids
-    as an array.
+    equal or null keys each give a row; other columns of docs are not read. Texts are encoded whole,
+    however long; an empty table gives no rows. Use ``ids_array`` for ids as an array.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

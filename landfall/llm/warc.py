@@ -56,7 +56,8 @@ def with_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
     Of equal payloads of at least REVISIT_BYTES the one with the largest page_id is the response, the
     others revisit it; rows that repeat that page_id are responses too. A null html is an empty payload, a
-    null page_id never is one that others refer to unless all are null. captured is the second with the
+    null page_id never is one that others refer to unless all are null. Repeated rows are records of their
+    own, an empty table gives none, other columns are not read. captured is the second with the
     number of the page_id (0 for null) after FIRST_CAPTURE, counted anew after CAPTURE_SPAN.
 
     Only digests, sizes and ids are grouped, with partial sums. Payloads stay where they are read; if there
