@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import business_grid
+from ..shared import stored
 from ..sources.ledger import require
 
 COMPANY = "ALL"
@@ -124,7 +125,9 @@ def add_baselines(panel: DataFrame, baselines: tuple[Baseline, ...] = BASELINES)
 
 
 def build(daily: DataFrame, grid_end: str = "data") -> DataFrame:
-    return add_baselines(add_features(with_history(cumulative(dense_panel(daily, grid_end)))))
+    """Features and baselines of the panel, which is written once: it is read again for month totals and for the year before."""
+    panel = stored(cumulative(dense_panel(daily, grid_end)), "panel")
+    return add_baselines(add_features(with_history(panel)))
 
 
 def usable(panel: DataFrame) -> DataFrame:

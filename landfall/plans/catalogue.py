@@ -207,6 +207,7 @@ QUERIES = {
         "generated_ledger": lambda t: generator.generate(t.spark).transactions,
         "generated_customers": lambda t: generator.generate(t.spark).customers,
         "generated_labels": lambda t: generator.generate(t.spark).anomaly_labels,
+        "generated_plain_ledger": lambda t: generator.generate_plain(t.spark),
         "duplicate_rows": lambda t: profile.duplicate_rows(t.table("lineitem")),
     }.items()
 }

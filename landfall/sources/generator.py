@@ -8,7 +8,7 @@ days, days into orders, orders into lines, lines into lines with their cancellat
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date
 from typing import NamedTuple
 
@@ -280,3 +280,12 @@ def generate(spark: SparkSession, cfg: LedgerConfig = LedgerConfig(), seed: int
     entry = F.add_months(F.lit(cfg.start.replace(day=1)), F.col("entry"))
     known = customers.select("customer_code", "customer_name", "customer_area", F.lit(BRANCH).alias("branch"), entry.alias("entry_month"))
     return Ledger(full.drop("kind"), known, full.filter("kind is not null").select("order_no", "line_no", "kind"))
+
+
+def generate_plain(spark: SparkSession, cfg: LedgerConfig = LedgerConfig(), seed: int = 42) -> DataFrame:
+    """A simpler ledger, without numbers of orders and lines: nobody enters or leaves, nothing comes back, is cancelled or wrong, and there are no large deals."""
+    d = Draws(seed)
+    fixed = replace(cfg, new_customer_ratio=0.0, churn_ratio=0.0)
+    lines = _lines(_orders(_customers(spark, fixed, d), fixed, d), d)
+    entries = lines.withColumns({"prefix": F.lit("SO"), "order_date": F.col("day"), "kind": F.lit(None).cast("string")})
+    return _ledger(entries).drop("order_no", "line_no", "kind")

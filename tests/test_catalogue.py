@@ -6,11 +6,11 @@ from oracle import connect, same
 from landfall.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-QUICK = ["daily_with_company", "landing_features", "landing_baselines", "baseline_scores_by_group", "month_folds", "step_folds", "empirical_quantile_forecast", "encode_groups", "check_report", "granularity_ladder", "churn_signals", "basket_skew", "column_profile", "holiday_flags"]
+QUICK = ["daily_with_company", "landing_features", "landing_baselines", "baseline_scores_by_group", "month_folds", "step_folds", "empirical_quantile_forecast", "encode_groups", "encode_customers_products", "quantile_metrics", "numeric_summary", "low_cardinality_values", "date_span", "duplicate_rows", "check_large_deal_share", "check_report", "granularity_ladder", "churn_signals", "basket_skew", "column_profile", "holiday_flags"]
 
 
 #: Models and hashed draws; tests of their own hold them.
-NO_SQL = {"quantile_gbm_forecast", "gbm_feature_importance", "generated_ledger", "generated_customers", "generated_labels"}
+NO_SQL = {"quantile_gbm_forecast", "gbm_feature_importance", "generated_ledger", "generated_customers", "generated_labels", "generated_plain_ledger"}
 
 
 def test_every_query_has_sql():

@@ -94,3 +94,13 @@ def test_default_ledger_meets_the_checks(spark):
 def test_bad_settings_are_errors(bad):
     with pytest.raises(ValueError):
         LedgerConfig(**bad)
+
+
+def test_plain_ledger(spark):
+    """The simpler ledger has no numbers, nothing negative, nothing below cost, and the same customers all along."""
+    fact = generator.generate_plain(spark, SMALL, 7).persist()
+    assert not {"order_no", "line_no"} & set(fact.columns) and fact.count() > 3000
+    assert fact.filter("quantity < 1 or profit < 0 or amount <> unit_price * quantity").count() == 0
+    assert fact.filter(~generator.business_day(F.col("order_date"))).count() == 0
+    years = fact.groupBy("customer_code").agg(F.count_distinct(F.year("order_date")).alias("n"))
+    assert years.filter("n = 2").count() > 0.9 * SMALL.n_customers
