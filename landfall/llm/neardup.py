@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import gram_hashes, hashed_words, mix64, stored
@@ -181,14 +181,15 @@ def _apart(apart: DataFrame, sets: DataFrame, near: DataFrame, percent: int) ->
     t = F.coalesce("t", F.array().cast("array<struct<held:bigint,token:bigint>>"))
     placed = stored(
         centred.join(lists, ["head", "node", "item"], "left").join(least, "head")
-        .select("head", "node", "component", "s", F.size(t).alias("u"), v.alias("v"), (F.col("n") * rho).alias("reach"), F.col("l.v").alias("v_least"), F.col("l.node").alias("nearest"), t.alias("t")),
+        .select("head", "node", "component", "s", F.size(t).cast("double").alias("u"), v.alias("v"), (F.col("n") * rho).alias("reach"), F.col("l.v").alias("v_least"), F.col("l.node").alias("nearest"), t.alias("t")),
         "placed",
     )
     sure = placed.filter("node <> nearest and v + v_least <= 1e-6").select(F.col("node").alias("x"), F.col("nearest").alias("y"))
-    banded = placed.filter("u > 0").select("head", "node", "component", "u", "v", F.col("t.token").alias("t")).mapInArrow(_banded, "head bigint, node bigint, component bigint, u int, v double, keys array<bigint>")
-    buckets = stored(banded.select("*", F.explode("keys").alias("key")).drop("keys"), "buckets")
-    tops = stored(buckets.groupBy("head", "key").agg(F.min("node").alias("top"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("head", "key", "top"), "tops")
-    stars = buckets.join(tops, ["head", "key"]).filter("node <> top").select(F.col("node").alias("x"), F.col("top").alias("y"))
+    banded = placed.filter("u > 0").select("head", "node", "component", "u", "v", F.col("t.token").alias("t")).mapInArrow(_banded, "head bigint, node bigint, component bigint, u double, v double, keys array<bigint>")
+    bucket = Window.partitionBy("head", "key")
+    several_in = lambda df: df.withColumns({"a": F.min("component").over(bucket), "b": F.max("component").over(bucket)}).filter("a <> b").drop("a", "b")
+    buckets = stored(several_in(banded.select("*", F.explode("keys").alias("key")).drop("keys")).withColumn("top", F.min("node").over(bucket)), "buckets")
+    stars = buckets.filter("node <> top").select(F.col("node").alias("x"), F.col("top").alias("y"))
     near = _merged(near, sure.unionByName(stars).distinct(), sets, percent)
 
     now = near.select("node", F.col("component").alias("now"))
@@ -196,15 +197,13 @@ def _apart(apart: DataFrame, sets: DataFrame, near: DataFrame, percent: int) ->
     twin = lambda df, *keys: df.select(*keys, *[F.col(c).alias(f"{c}_x") for c in ("node", "component", "u", "v")])
     need = "(v_x + v) / 2"
     could = f"component_x <> component and v_x + v > 0 and {need} <= least(u_x, u) + 1e-6"
-    share = f"{need} / (u_x + u - {need})"
-    again = stored(fresh(buckets.join(tops, ["head", "key"]).drop("top")), "buckets")
-    unlike = stored(again.groupBy("head", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("head", "key"), "unlike")
-    rest = again.join(unlike, ["head", "key"])
-    paired = twin(rest, "head", "key").join(rest, ["head", "key"]).filter(f"node_x < node and {could} and {share} >= {NEAR} - 1e-6")
+    share = f"{need} * {1 + NEAR}"  # against NEAR * (u_x + u): without a division, which could fail, all of it is part of the join's condition
+    rest = stored(several_in(fresh(buckets.drop("top"))), "buckets")
+    paired = twin(rest, "head", "key").join(rest, ["head", "key"]).filter(f"node_x < node and {could} and {share} >= {NEAR} * (u_x + u) - 1e-6")
     listed = fresh(placed).select("*", F.posexplode("t").alias("i", "e")).withColumns({"token": F.col("e.token"), "rank": F.col("i") + 1 + F.col("s") - F.col("u")})
     probes = listed.filter("rank <= s - greatest(1, ceil((v + v_least) / 2 - 1e-6)) + 1")
     index = listed.filter("rank <= floor(reach + 1e-6) + 1").select("head", "token", "node", "component", "u", "v")
-    found = twin(probes, "head", "token").join(index, ["head", "token"]).filter(f"(v_x > v or v_x = v and node_x > node) and {could} and {share} < {NEAR}")
+    found = twin(probes, "head", "token").join(index, ["head", "token"]).filter(f"(v_x > v or v_x = v and node_x > node) and {could} and {share} < {NEAR} * (u_x + u)")
     pairs = paired.select("node_x", "node").unionByName(found.select("node_x", "node"))
     return _merged(near, pairs.select(F.greatest("node_x", "node").alias("x"), F.least("node_x", "node").alias("y")).distinct(), sets, percent)
 
