@@ -15,6 +15,8 @@ from ..sources.ledger import require
 COMPANY = "ALL"
 KEYS = ("department", "month", "step")
 QUANTILES = (0.1, 0.5, 0.9)
+#: Orders of a day, or customers of a day, that are told apart in one task.
+ORDERS_A_TASK = 200_000
 
 
 def daily_by_department(fact: DataFrame) -> DataFrame:
@@ -24,15 +26,25 @@ def daily_by_department(fact: DataFrame) -> DataFrame:
 def daily_with_company(fact: DataFrame) -> DataFrame:
     """Both levels in one pass; distinct counts of the company are counted anew, not added up.
 
-    Lines are summed to orders first, and only these are counted at both levels.
+    Lines are summed to orders first, which are written once. Orders and customers are then told apart in
+    as many partitions as ORDERS_A_TASK asks for, so a task holds no more of them when there are more orders.
     """
     require(fact, ("department", "order_date", "amount", "order_no", "customer_code"))
-    orders = fact.groupBy("department", "order_date", "order_no", "customer_code").agg(F.sum("amount").alias("amount"))
-    level = F.grouping("department")
-    sets = orders.groupingSets([["department", "order_date"], ["order_date"]], "department", "order_date").agg(
-        level.alias("level"), F.sum("amount").alias("amount"), F.count_distinct("order_no").alias("orders"), F.count_distinct("customer_code").alias("customers")
-    )
-    return sets.select(F.when(F.col("level") == 1, COMPANY).otherwise(F.col("department")).alias("department"), "order_date", "amount", "orders", "customers")
+    orders = stored(fact.groupBy("department", "order_date", "order_no", "customer_code").agg(F.sum("amount").alias("amount")), "orders")
+    parts = max(1, -(-orders.count() // ORDERS_A_TASK))
+    levels = F.array(F.struct(F.lit(0).alias("level"), "department"), F.struct(F.lit(1).alias("level"), F.lit(COMPANY).alias("department")))
+
+    def told_apart(key: str, **counts: Column) -> DataFrame:
+        """One row for each key of a level's day."""
+        dealt = orders.repartition(parts, "order_date", key).select(F.explode(levels).alias("of"), "order_date", key, "amount")
+        rows = dealt.groupBy("of.level", "of.department", "order_date", key).agg(F.sum("amount").alias("amount"))
+        return rows.select("level", "department", "order_date", *[c.alias(n) for n, c in counts.items()])
+
+    none, one = F.lit(0), lambda key: F.col(key).isNotNull().cast("int")
+    by_order = told_apart("order_no", amount=F.col("amount"), orders=one("order_no"), customers=none)
+    by_customer = told_apart("customer_code", amount=F.lit(None).cast(by_order.schema["amount"].dataType), orders=none, customers=one("customer_code"))
+    days = by_order.unionByName(by_customer).groupBy("level", "department", "order_date")
+    return days.agg(*[F.sum(c).alias(c) for c in ("amount", "orders", "customers")]).drop("level")
 
 
 def grid_of(daily: DataFrame, grid_end: str = "data") -> DataFrame:

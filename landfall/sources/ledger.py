@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TABLES = ("region", "nation", "customer", "part", "orders", "lineitem")
+#: Order lines that meet their orders in one task.
+LINES_A_TASK = 500_000
 
 LEDGER_SCHEMA = T.StructType(
     [
@@ -41,9 +43,13 @@ def _cents(column: Column) -> Column:
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an order line; lines of returned and finished orders are negative.
 
-    Dimensions are joined on their keys and left to the optimizer, which broadcasts what is small.
+    Dimensions are joined on their keys and left to the optimizer, which broadcasts what is small. Where the
+    cores alone would leave a task more than LINES_A_TASK lines, they are dealt to more tasks by order.
     """
     t = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
+    parts = -(-t["lineitem"].count() // LINES_A_TASK)
+    if parts > spark.sparkContext.defaultParallelism:
+        t["lineitem"] = t["lineitem"].repartition(parts, "l_orderkey")
     numbered = t["lineitem"].withColumn("line_no", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*[F.col(c) for c in t["lineitem"].columns if c != "l_orderkey"])).cast("bigint"))
     joined = (
         numbered.join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))

@@ -221,3 +221,26 @@ def test_profile(spark):
     assert profile.shape(df).first()[:] == (4, 5) and profile.head(df, 2).count() == 2
     none = df.limit(0)
     assert {r.n_unique for r in profile.column_profile(none).collect()} == {0} and profile.numeric_summary(none).count() == 0 and profile.duplicate_rows(none).first()[:] == (0, 0, 0)
+
+
+def test_daily_holds_few_orders_a_task(spark, fact, monkeypatch):
+    """Partitions follow the number of orders and of lines, no row is expanded by kinds of counts, and results stay."""
+    rows = [(d, day, amount, order, customer) for day in (DAY("2024-01-01"), None) for d, amount, order, customer in [("a", 1, 1, 7), ("b", 2, 1, 7), ("a", 3, 2, None), (None, 4, None, 8), ("ALL", 5, 3, 8), ("a", 6, 1, 9), ("c", None, 4, 4)]]
+    odd = spark.createDataFrame(rows, "department string, order_date date, amount bigint, order_no bigint, customer_code bigint")
+    monkeypatch.setattr(landing, "ORDERS_A_TASK", 5)
+    monkeypatch.setattr(ledger, "LINES_A_TASK", 100)
+    daily = landing.daily_with_company(odd)
+    want = {}
+    for level in (0, 1):
+        for d, day, amount, order, customer in rows:
+            amounts, orders, customers = want.setdefault((level, "ALL" if level else d, day), ([], set(), set()))
+            amounts += [amount] * (amount is not None)
+            orders |= {order} - {None}
+            customers |= {customer} - {None}
+    key = lambda row: tuple(map(str, row))
+    assert sorted(map(tuple, daily.collect()), key=key) == sorted([(d, day, sum(a) if a else None, len(o), len(c)) for (_, d, day), (a, o, c) in want.items()], key=key)
+    plan = daily._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and ", 3), REPARTITION_BY_NUM" in plan
+    dealt = ledger.sales(spark, "/root/testdata/sf0.001")
+    assert ", 60), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert dealt.exceptAll(fact).count() == fact.exceptAll(dealt).count() == 0
