@@ -17,12 +17,27 @@ from ..shared import released, scratch, stored, until_exit  # noqa: F401
 BATCH_BYTES = 8 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of sf_dir. Arrow batches of the session are bounded by bytes from here on."""
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of the session are bounded by bytes from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir, read in bounded batches."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_parts(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """All rows of a batch in order, in parts with at most so many bytes in a string column, or of one longer row."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, limit + (ends[at - 1] if at else 0), "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def mapped(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """df with ``rows`` applied to each Arrow batch."""
 

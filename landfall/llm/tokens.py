@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Kept, gather, gathered
+from .common import Kept, bounded, gather, gathered, in_parts
 
 #: The pattern that splits a text into pieces before byte-level merges.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -30,6 +30,8 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 _SINGLE_GAP = re.compile(r"(?<=\S) (?=\S)")
 #: Ids that are decoded at once, or one text's.
 _BLOCK = 1 << 18
+#: Bytes of texts that are encoded and decoded at once, or one longer text's.
+PART_BYTES = 2 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -48,7 +50,7 @@ class PrefixEncoder:
     """
 
     #: Pairs of tokens, and bytes of pieces and of chunks, that a worker remembers.
-    PAIRS, PIECE_BYTES, CHUNK_BYTES = 300_000, 64 << 20, 128 << 20
+    PAIRS, PIECE_BYTES, CHUNK_BYTES = 300_000, 16 << 20, 48 << 20
 
     def __init__(self, path: str):
         self.path = path
@@ -262,11 +264,12 @@ def byte_bpe(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = loaded(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole, 1, PART_BYTES)):
             flat, ends = codec.encode_all(batch.column(1).fill_null(""))
             texts = pa.array(codec.decode_all(flat, ends), pa.binary()).cast(pa.string())
             yield pa.record_batch([batch.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(np.append(0, ends[:-1]), ends)], pa.binary()), texts], names=[key, "ids_le", "decoded"])
 
+    bounded(docs.sparkSession)
     source = docs.select(key, text)
     return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, ids_le binary, decoded string")
 

@@ -14,7 +14,7 @@ from test_operators import DOCS, brute_groups, brute_passages, corpus
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from landfall.llm import repeats, sql
+from landfall.llm import common, repeats, sql, tokens
 
 
 def test_run_is_by_hand(spark, tmp_path):
@@ -72,3 +72,27 @@ def test_hot_rows_and_long_texts(spark):
         assert all(r.doc_id is None or r.text is not None for r in out), name
         if name == "minhash_near_dedup":
             assert sorted(r.doc_id for r in out if r.doc_id is not None) == [0, 100, 107, 107]
+
+
+def test_stages_bound_their_batches(spark):
+    """Rows that a caller read come in bounded batches too."""
+    docs = spark.createDataFrame([(1, "one two three", "en", "web", 13)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in corpus_pipeline.STAGES:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs, "")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == common.BATCH_BYTES
+
+
+def test_parts_of_a_batch():
+    """Texts are encoded in parts of bounded size, all rows in order, a longer text by itself."""
+    texts = ["a" * n for n in (3, 3, 0, 9, 2, 2, 2)] + [None, "éé", "x" * 20]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = [p.to_pydict()["text"] for p in common.in_parts(batch, 1, 6)]
+    assert [t for p in parts for t in p] == texts
+    assert all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 6 for p in parts) and ["a" * 9] in parts
+    assert not list(common.in_parts(batch.slice(0, 0), 1, 6))
+    codec = tokens.loaded(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(codec.path)
+    words = pa.record_batch([pa.array([0, 1, 2]), pa.array(["the cat  sat", "", "on the mat"])], names=["doc_id", "text"])
+    ids = [codec.encode_all(p.column(1))[0].tolist() for p in common.in_parts(words, 1, 1)]
+    assert ids == [library.encode(t, add_special_tokens=False).ids for t in ("the cat  sat", "", "on the mat")]
