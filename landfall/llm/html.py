@@ -15,9 +15,9 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache, reduce
 from itertools import count
+from math import isqrt
 
 import pandas as pd
 import pyarrow as pa
@@ -47,10 +47,8 @@ BESIDE_ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|sear
 TEMPLATE_PAGES = 2
 #: Symbols that a repeated group spans at most.
 FOLD = 24
-#: Streams of a host that are aligned in one task; of more, the wrappers of such parts are aligned again.
+#: Streams of a host that are aligned in about one task; the order of alignment is the same for any value from 2.
 PART = 256
-#: Products of two streams' lengths from which on symbols that are very common in one do not start a match.
-LONG = 250_000
 #: Characters of wrappers that are broadcast at most; beyond, they are joined by shuffle.
 BROADCAST_CHARS = 32_000_000
 SLOTS_TYPE = pa.list_(pa.int64())
@@ -249,8 +247,44 @@ def _grouped(items: list[Item], groups: set[str]) -> list[Item]:
     return out
 
 
-def _matcher(a: list[str], b: list[str]) -> SequenceMatcher:
-    return SequenceMatcher(None, [_core(s) for s in a], [_core(s) for s in b], autojunk=len(a) * len(b) > LONG)
+def _matched(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of the cores, whatever the lengths.
+
+    Rows of the length table are kept as bits (0 where it grows); of about the root of all rows, the ones
+    between are made again on the way back.
+    """
+    masks: dict[str, int] = {}
+    for j, s in enumerate(b):
+        core = _core(s)
+        masks[core] = masks.get(core, 0) | 1 << j
+    found = [masks.get(_core(s), 0) for s in a]
+    full = (1 << len(b)) - 1
+
+    def rows(start: int, first: int, stop: int) -> Iterator[int]:
+        for mask in found[first:stop]:
+            both = start & mask
+            start = (start + both | start - both) & full
+            yield start
+
+    width = isqrt(len(a)) + 1
+    starts = [full]
+    for first in range(0, len(a), width):
+        for last in rows(starts[-1], first, first + width):
+            pass
+        starts.append(last)
+    pairs, j = [], len(b) - 1
+    for k in range(len(starts) - 2, -1, -1):
+        block = [starts[k], *rows(starts[k], k * width, (k + 1) * width)]
+        i = len(block) - 1
+        while i and j >= 0:
+            if block[i] >> j & 1:
+                j -= 1
+                continue
+            i -= 1
+            if block[i] >> j & 1:
+                pairs.append((k * width + i, j))
+                j -= 1
+    return pairs[::-1]
 
 
 def align(wrapper: list[str], stream: list[str]) -> list[str]:
@@ -258,13 +292,13 @@ def align(wrapper: list[str], stream: list[str]) -> list[str]:
     both = _groups(wrapper) | _groups(stream)
     wrapper, stream = ([s for s, _ in _grouped([(s, []) for s in side], both)] for side in (wrapper, stream))
     out: list[str] = []
-    for op, a0, a1, b0, b1 in _matcher(wrapper, stream).get_opcodes():
-        if op == "equal":
-            for x, y in zip(wrapper[a0:a1], stream[b0:b1]):
-                grown = f"({_core(x)})+" if ")+" in (_required(x)[-2:], _required(y)[-2:]) else _core(x)
-                out.append(f"({grown})?" if x != _required(x) or y != _required(y) else grown)
-        else:
-            out += [s if s != _required(s) else f"({s})?" for s in [*wrapper[a0:a1], *stream[b0:b1]]]
+    a0 = b0 = 0
+    for i, j in [*_matched(wrapper, stream), (len(wrapper), len(stream))]:
+        out += [s if s != _required(s) else f"({s})?" for s in [*wrapper[a0:i], *stream[b0:j]]]
+        for x, y in zip(wrapper[i : i + 1], stream[j : j + 1]):
+            grown = f"({_core(x)})+" if ")+" in (_required(x)[-2:], _required(y)[-2:]) else _core(x)
+            out.append(f"({grown})?" if x != _required(x) or y != _required(y) else grown)
+        a0, b0 = i + 1, j + 1
     return out
 
 
@@ -276,9 +310,8 @@ def places(wrapper: str, stream: str) -> dict[tuple[int, int], tuple[int, str]]:
     slots = [[(next(numbers), kind) for kind in SLOT.findall(s)] for s in to]
     items = _grouped([(s, [[(k, j)] for j in range(s.count("#"))]) for k, s in enumerate(stream.split("\x1f"))], _groups(to))
     out = {}
-    for a, b, n in _matcher(to, [s for s, _ in items]).get_matching_blocks():
-        for k in range(n):
-            out |= {place: slots[a + k][j] for j, slot in enumerate(items[b + k][1]) for place in slot}
+    for a, b in _matched(to, [s for s, _ in items]):
+        out |= {place: slots[a][j] for j, slot in enumerate(items[b][1]) for place in slot}
     return out
 
 
@@ -332,10 +365,17 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(slots, SLOTS_TYPE), pa.array(texts, SLOTS_TYPE)], names=["host", "page", "slots", "texts"])
 
 
+def _merged(items: list[tuple[int, str]], bit: int = 63) -> list[str]:
+    """The wrapper of streams or wrappers, each with the code of its stream: those of equal leading bits are aligned first."""
+    if len(items) == 1 or bit < 0:
+        return reduce(align, (s.split("\x1f") for _, s in sorted(items)))
+    sides = [[x for x in items if x[0] >> bit & 1 == side] for side in (0, 1)]
+    return reduce(align, (_merged(side, bit - 1) for side in sides if side))
+
+
 def _aligned(group: pd.DataFrame) -> pd.DataFrame:
-    streams = sorted(zip(-group["n"], group["stream"]))
-    wrapper = reduce(align, (s.split("\x1f") for _, s in streams[1:]), streams[0][1].split("\x1f"))
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "stream": ["\x1f".join(wrapper)], "n": [int(group["n"].sum())]})
+    wrapper = _merged([(code, s) for code, s in zip(group["code"].tolist(), group["stream"])])
+    return pd.DataFrame({"host": [group["host"].iloc[0]], "stream": ["\x1f".join(wrapper)], "n": [int(group["n"].sum())], "code": [group["code"].iloc[0]]})
 
 
 def _few(df: DataFrame, *texts: str) -> DataFrame:
@@ -354,16 +394,18 @@ def read_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
 def wrappers(seen: DataFrame) -> DataFrame:
     """host, wrapper (the expression, its symbols parted by U+001F), n (pages) from read pages.
 
-    Equal folded streams are counted before they move. At most PART of a host's are aligned in one task,
+    Equal folded streams are counted before they move. About PART of a host's are aligned in one task,
     then the wrappers of the parts, and so on until one is left, so a host with many pages meets in no task.
+    Streams are aligned along the tree of their hashes' bits and parts are subtrees, so the wrapper is the
+    same however many parts there are.
     """
-    shapes = stored(seen.groupBy("host", "stream").agg(F.count("*").alias("n")), "shapes")
+    shapes = stored(seen.groupBy("host", "stream").agg(F.count("*").alias("n")).withColumn("code", F.xxhash64("stream")), "shapes")
     while True:
         most = shapes.groupBy("host").agg(F.count("*").alias("streams"))
         largest = most.agg(F.max("streams")).first()[0] or 1
-        part = F.pmod(F.xxhash64("stream"), F.ceil(F.col("streams") / PART)).cast("bigint")
+        part = F.expr(f"if(streams <= {PART}, 0L, shiftrightunsigned(code, 64 - cast(ceil(log2(streams / {PART})) as int)))")
         grouped = shapes.join(most, "host").withColumn("part", part).groupBy("host", "part")
-        shapes = stored(grouped.applyInPandas(_aligned, "host string, stream string, n bigint"), "wrappers")
+        shapes = stored(grouped.applyInPandas(_aligned, "host string, stream string, n bigint, code bigint"), "wrappers")
         if largest <= PART:
             return shapes.select("host", F.col("stream").alias("wrapper"), "n")
 

@@ -345,6 +345,22 @@ def test_html_many_shapes(spark, monkeypatch):
     assert all(got[i].startswith(page.split(">")[3].split("<")[0]) and "Site" not in got[i] for i, _, page in rows)
 
 
+def test_html_wrapper_of_any_parts(spark, monkeypatch):
+    """The number of streams that meet in a task, or their length, changes no result."""
+    rng = random.Random(14)
+    rows = [(i, "http://h.example.com/", "<div>Site</div>" + "".join(rng.choice(["<p>p</p>", "<ul><li>l</ul>", "<h3>h</h3>", "<pre>x</pre>"]) for _ in range(9))) for i in range(60)]
+    seen = html.read_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).persist()
+    found = set()
+    for part in (2, 5, 256):
+        monkeypatch.setattr(html, "PART", part)
+        found |= {(r.wrapper, r.n) for r in html.wrappers(seen).collect()}
+    assert len(found) == 1
+    long = [rng.choice("abc") for _ in range(2000)]
+    assert "b" in html.align(["a", "b"], ["b", "c"]) and html.align(long, long) == long
+    extra = html.align(long, [*long[:700], "new", *long[700:]])
+    assert [s for s in extra if s != "(new)?"] == long and extra.count("(new)?") == 1
+
+
 def test_html_takes_time_in_proportion():
     """Unclosed tags, deep nesting and open quotes."""
     for make in (lambda n: "<a " * n, lambda n: "<!x" * n, lambda n: "<div>" * n + "x", lambda n: '<p t="' * n + ">", lambda n: "<p>x" * n, lambda n: "<ul><li>" * n + "y", lambda n: "</b>" * n + "<b>" * n):
