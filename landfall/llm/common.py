@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
@@ -45,7 +46,19 @@ def mapped(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], sche
         for batch in batches:
             yield rows(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(given_back(run), schema)
+
+
+def given_back(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """rows, after which a worker gives the memory that it no longer uses back: idle workers live on beside the next stages' ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc alone
+            trim(0)
+
+    return run
 
 
 def text_bytes(column: pa.Array) -> list[bytes | None]:
@@ -82,6 +95,9 @@ class Kept:
             self.held *= bool(self.known)
         return found
 
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
+
     @staticmethod
     def _bytes(keys: list, values: list) -> int:
         return sum(map(len, keys)) + sum(map(len, values)) + 150 * len(keys)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, stored
+from .common import given_back, released, stored
 
 MAX_ROUNDS = 60
 #: From this many links on the smallest neighbours are written before they are joined, so that both sides
@@ -50,7 +50,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     lost executor undoes it; no task or driver holds more than one batch of links.
     """
     edges = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = stored(edges.mapInArrow(_contracted, "u bigint, v bigint").distinct(), "links")
+    edges = stored(edges.mapInArrow(given_back(_contracted), "u bigint, v bigint").distinct(), "links")
     seen = None
     plain = (lambda df: df) if edges.count() < SPLIT_LINKS else (lambda df: stored(df, "lowest"))
     for _ in range(MAX_ROUNDS):

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, hashed_words, mix64, stored
+from .common import given_back, gram_hashes, hashed_words, mix64, stored
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -136,12 +136,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (x, y) with the sizes of both sets and of what they share."""
     left = sets.select(F.col("node").alias("x"), F.col("shingles").alias("a"))
     right = sets.select(F.col("node").alias("y"), F.col("shingles").alias("b"))
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b").mapInArrow(_compared, "x bigint, y bigint, shared bigint, nx bigint, ny bigint")
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "a", "b").mapInArrow(given_back(_compared), "x bigint, y bigint, shared bigint, nx bigint, ny bigint")
 
 
 def _merged(near: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components (node, component) with the links among pairs (x, y) added."""
-    tested = _verified(pairs, sets)
+    """Components (node, component) with the links among pairs (x, y) added.
+
+    Pairs are written when they are compared: in one stage with the components' first step a task would take two workers.
+    """
+    tested = stored(_verified(pairs, sets), "verified")
     more = tested.filter(f"shared * 100 >= (nx + ny - shared) * {percent}").select(F.col("x").alias("u"), F.col("y").alias("v"))
     return stored(connected_components(near.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
 
@@ -167,12 +170,12 @@ def _apart(apart: DataFrame, sets: DataFrame, near: DataFrame, percent: int) ->
     centre = sets.join(several.select(F.col("head").alias("node")), "node").groupBy(F.col("node").alias("head")).agg(F.min("shingles").alias("b"))  # any set will do
     whole = apart.join(several, "head").join(sets.select("node", F.col("shingles").alias("a")), "node").join(centre, "head").select("head", "node", "component", "a", "b")
     kinds = "head bigint, node bigint, component bigint, item bigint, n bigint, diff binary"
-    first = stored(whole.mapInArrow(_differences, kinds).dropDuplicates(["head", "node", "item"]), "differences")
-    exploded = lambda df: df.select("head", "node", "item", "diff").mapInArrow(_exploded, "head bigint, node bigint, item bigint, token bigint")
+    first = stored(whole.mapInArrow(given_back(_differences), kinds).dropDuplicates(["head", "node", "item"]), "differences")
+    exploded = lambda df: df.select("head", "node", "item", "diff").mapInArrow(given_back(_exploded), "head bigint, node bigint, item bigint, token bigint")
     number = first.groupBy("head").agg(F.count("*").alias("nodes"))
     held = exploded(first).groupBy("head", "token").agg(F.count("*").alias("held"))
     most = stored(held.join(number, "head").filter("held * 2 > nodes").groupBy("head").agg(F.collect_list("token").alias("most")), "most")  # no longer than two sets
-    centred = stored(first.join(most, "head", "left").select(*first.columns, "most").mapInArrow(_centred, f"{kinds}, s bigint"), "centred")
+    centred = stored(first.join(most, "head", "left").select(*first.columns, "most").mapInArrow(given_back(_centred), f"{kinds}, s bigint"), "centred")
     tokens = stored(exploded(centred), "tokens")
     common = stored(tokens.groupBy("head", "token").agg(F.count("*").alias("held")).filter("held > 1"), "common")
     lists = tokens.join(common, ["head", "token"]).groupBy("head", "node", "item").agg(F.array_sort(F.collect_list(F.struct("held", "token"))).alias("t"))
@@ -185,7 +188,7 @@ def _apart(apart: DataFrame, sets: DataFrame, near: DataFrame, percent: int) ->
         "placed",
     )
     sure = placed.filter("node <> nearest and v + v_least <= 1e-6").select(F.col("node").alias("x"), F.col("nearest").alias("y"))
-    banded = placed.filter("u > 0").select("head", "node", "component", "u", "v", F.col("t.token").alias("t")).mapInArrow(_banded, "head bigint, node bigint, component bigint, u double, v double, keys array<bigint>")
+    banded = placed.filter("u > 0").select("head", "node", "component", "u", "v", F.col("t.token").alias("t")).mapInArrow(given_back(_banded), "head bigint, node bigint, component bigint, u double, v double, keys array<bigint>")
     bucket = Window.partitionBy("head", "key")
     several_in = lambda df: df.withColumns({"a": F.min("component").over(bucket), "b": F.max("component").over(bucket)}).filter("a <> b").drop("a", "b")
     buckets = stored(several_in(banded.select("*", F.explode("keys").alias("key")).drop("keys")).withColumn("top", F.min("node").over(bucket)), "buckets")
@@ -222,7 +225,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     by a bound or already in one component. An empty table gives no rows; texts are read whole.
     """
     source = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    signed = stored(source.mapInArrow(_signed, "doc_id bigint, n_shingles bigint, high bigint, low bigint, bands array<bigint>"), "signatures")
+    signed = stored(source.mapInArrow(given_back(_signed), "doc_id bigint, n_shingles bigint, high bigint, low bigint, bands array<bigint>"), "signatures")
     classes = stored(
         signed.filter("n_shingles > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")),
         "classes",
@@ -235,7 +238,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     members = stored(shared.join(heads, "key"), "members")
     stars = members.filter("node <> head").select(F.col("node").alias("x"), F.col("head").alias("y")).distinct()
     wanted = members.select("node").distinct()
-    sets = stored(source.join(wanted.hint("merge"), source.doc_id == wanted.node).select("node", "text").mapInArrow(_sets, "node bigint, shingles binary"), "sets")
+    sets = stored(source.join(wanted.hint("merge"), source.doc_id == wanted.node).select("node", "text").mapInArrow(given_back(_sets), "node bigint, shingles binary"), "sets")
     first = stored(_verified(stars, sets), "verified")
     linked = F.expr(f"shared * 100 >= (nx + ny - shared) * {percent}")
     links = first.filter(linked).select(F.col("x").alias("u"), F.col("y").alias("v"))

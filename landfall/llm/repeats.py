@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, hashed_words, mix64, stored, text_bytes
+from .common import given_back, gram_hashes, hashed_words, mix64, stored, text_bytes
 
 #: Words of the shortest passage that counts.
 MIN_WORDS = 50
@@ -212,19 +212,19 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     around them, so texts move once. What very many places share never meets in one task.
     """
     source = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    anchors = stored(source.mapInArrow(_anchors, "key bigint, doc_id bigint, pos int"), "anchors")
+    anchors = stored(source.mapInArrow(given_back(_anchors), "key bigint, doc_id bigint, pos int"), "anchors")
     shared = anchors.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a <> b").select("key", "n", (F.col("n") > hot_rows).alias("hot"))
     places = _met(anchors, stored(shared, "shared"), "key").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "hot")).alias("p")).select("doc_id", F.col("p.pos").alias("pos"), F.col("p.hot").alias("hot"))
-    suffixes = stored(source.join(places.hint("merge"), "doc_id").select("doc_id", "text", "pos", "hot").mapInArrow(_suffixes, SUFFIX), "suffixes")
+    suffixes = stored(source.join(places.hint("merge"), "doc_id").select("doc_id", "text", "pos", "hot").mapInArrow(given_back(_suffixes), SUFFIX), "suffixes")
     cold = suffixes.filter("context is not null").select("key", "doc_id", "pos", "context", "after", "before")
-    spans = cold.repartition("key").sortWithinPartitions("key", "context", "doc_id", "pos").mapInArrow(_matched, SPAN)
+    spans = cold.repartition("key").sortWithinPartitions("key", "context", "doc_id", "pos").mapInArrow(given_back(_matched), SPAN)
     hot = suffixes.filter("windows is not null").select("doc_id", "first_window", F.posexplode("windows").alias("i", "window"))
     starts = hot.select("doc_id", "window", (F.col("first_window") + F.col("i")).alias("start"))
     held = starts.groupBy("window").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n")).filter("first_doc <> last_doc").select("window", "first_doc", "n")
     hot_spans = _met(starts, stored(held, "windows"), "window").select("doc_id", "start", (F.col("start") + MIN_WORDS).alias("stop"), "first_doc")
     each = spans.unionByName(hot_spans).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", "first_doc")).alias("s"))
     ranges = "array<struct<start:int,stop:int>>"
-    return each.mapInArrow(_merged, f"doc_id bigint, n_repeated bigint, n_removed bigint, spans {ranges}, removed {ranges}, first_docs array<bigint>")
+    return each.mapInArrow(given_back(_merged), f"doc_id bigint, n_repeated bigint, n_removed bigint, spans {ranges}, removed {ranges}, first_docs array<bigint>")
 
 
 def without_passages(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,7 +253,7 @@ def without_passages(docs: DataFrame, found: DataFrame, key: str = "doc_id", tex
             yield pa.record_batch(columns, names=names).filter(pa.array(keep))
 
     joined = docs.join(cuts, docs[key] == cuts["_doc"], "left").select(*[docs[c] for c in names], "_removed")
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(given_back(run), docs.schema)
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Kept, bounded, gather, gathered, in_parts
+from .common import Kept, bounded, gather, gathered, given_back, in_parts
 
 #: The pattern that splits a text into pieces before byte-level merges.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -69,6 +69,12 @@ class PrefixEncoder:
         self.chunks = Kept(lambda chunks: self._joined([" " + c for c in chunks]), self.CHUNK_BYTES)
         self.names = {i: t for t, i in self.vocab.items()}
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts."""
+        self.compatible.clear()
+        self.pieces.forget()
+        self.chunks.forget()
+
     @cached_property
     def automaton(self) -> ahocorasick.Automaton:
         """Tokens by their spelling; a token with the end mark is spelled with one closing symbol."""
@@ -259,7 +265,7 @@ def byte_bpe(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
     Returns key, ids_le (the ids as little-endian unsigned 32-bit integers, binary) and decoded (string,
     made from the ids alone). A null or empty text has no ids and decodes to the empty text; rows with
     equal or null keys each give a row; other columns of docs are not read. Texts are encoded whole,
-    however long; an empty table gives no rows. Use ``ids_array`` for ids as an array.
+    however long; an empty table gives no rows. What a worker remembers of texts goes with its task. Use ``ids_array`` for ids as an array.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +274,12 @@ def byte_bpe(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
             flat, ends = codec.encode_all(batch.column(1).fill_null(""))
             texts = pa.array(codec.decode_all(flat, ends), pa.binary()).cast(pa.string())
             yield pa.record_batch([batch.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(np.append(0, ends[:-1]), ends)], pa.binary()), texts], names=[key, "ids_le", "decoded"])
+            del flat, ends, texts
+        codec.forget()
 
     bounded(docs.sparkSession)
     source = docs.select(key, text)
-    return source.mapInArrow(run, f"`{key}` {source.schema[0].dataType.simpleString()}, ids_le binary, decoded string")
+    return source.mapInArrow(given_back(run), f"`{key}` {source.schema[0].dataType.simpleString()}, ids_le binary, decoded string")
 
 
 def ids_array(encoded: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from test_operators import DOCS, brute_groups, brute_passages, corpus
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from landfall.llm import common, repeats, sql, tokens
+from landfall.llm import common, neardup, repeats, sql, tokens
 
 
 def test_run_is_by_hand(spark, tmp_path):
@@ -96,3 +96,29 @@ def test_parts_of_a_batch():
     words = pa.record_batch([pa.array([0, 1, 2]), pa.array(["the cat  sat", "", "on the mat"])], names=["doc_id", "text"])
     ids = [codec.encode_all(p.column(1))[0].tolist() for p in common.in_parts(words, 1, 1)]
     assert ids == [library.encode(t, add_special_tokens=False).ids for t in ("the cat  sat", "", "on the mat")]
+
+
+def test_idle_workers_hold_no_texts(spark):
+    """What a worker remembers of texts goes with its task, and no task of the near-copy stage takes two workers."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.range(0, 400, 1, 8).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of"), F.col("id")).alias("text"))
+    assert tokens.byte_bpe(docs, path).agg(F.sum(F.length("ids_le"))).first()[0] > 0
+
+    def held(batches):
+        for _ in batches:
+            codec = tokens.loaded(path)
+            yield pa.record_batch([pa.array([len(codec.chunks.known) + len(codec.pieces.known) + len(codec.compatible) + codec.chunks.held + codec.pieces.held])], names=["held"])
+
+    assert {r.held for r in spark.range(0, 64, 1, 64).mapInArrow(held, "held bigint").collect()} == {0}
+
+
+def test_pairs_are_compared_before_components(spark, monkeypatch):
+    """A stage with two steps in Python would take two workers a task."""
+    plans = []
+    real = neardup.connected_components
+    monkeypatch.setattr(neardup, "connected_components", lambda links: plans.append(links._jdf.queryExecution().executedPlan().toString()) or real(links))
+    sets = spark.createDataFrame([(k, np.arange(9, dtype=np.int64).tobytes()) for k in (1, 2, 3)], "node bigint, shingles binary")
+    near = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "node bigint, component bigint")
+    pairs = spark.createDataFrame([(2, 1), (3, 2)], "x bigint, y bigint")
+    assert {tuple(r) for r in neardup._merged(near, pairs, sets, 85).collect()} == {(1, 1), (2, 1), (3, 1)}
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
