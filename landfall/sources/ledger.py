@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import folder
+
 TABLES = ("region", "nation", "customer", "part", "orders", "lineitem")
 #: Order lines that meet their orders in one task.
 LINES_A_TASK = 500_000
@@ -40,15 +42,26 @@ def _cents(column: Column) -> Column:
     return F.round(column * 100).cast("bigint")
 
 
+def split_finely(spark: SparkSession, path: str, parts: int) -> None:
+    """From here on the session reads no more of a file in one task than one of so many parts of the table at path, or one row group.
+
+    A shuffle to more partitions than Spark writes one file each for holds what its task has read in memory.
+    """
+    system, place = folder(spark, path)
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(min(now, max(1 << 20, system.getContentSummary(place).getLength() // parts))))
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an order line; lines of returned and finished orders are negative.
 
     Dimensions are joined on their keys and left to the optimizer, which broadcasts what is small. Where the
-    cores alone would leave a task more than LINES_A_TASK lines, they are dealt to more tasks by order.
+    cores alone would leave a task more than LINES_A_TASK lines, they are read in as many parts and dealt to more tasks by order.
     """
     t = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
     parts = -(-t["lineitem"].count() // LINES_A_TASK)
     if parts > spark.sparkContext.defaultParallelism:
+        split_finely(spark, f"{sf_dir}/lineitem.parquet", parts)
         t["lineitem"] = t["lineitem"].repartition(parts, "l_orderkey")
     numbered = t["lineitem"].withColumn("line_no", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*[F.col(c) for c in t["lineitem"].columns if c != "l_orderkey"])).cast("bigint"))
     joined = (

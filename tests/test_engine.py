@@ -244,3 +244,22 @@ def test_daily_holds_few_orders_a_task(spark, fact, monkeypatch):
     dealt = ledger.sales(spark, "/root/testdata/sf0.001")
     assert ", 60), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
     assert dealt.exceptAll(fact).count() == fact.exceptAll(dealt).count() == 0
+
+
+def test_many_lines_are_read_in_parts(spark, fact, monkeypatch, tmp_path):
+    """A task that deals lines out reads no more of them when there are more."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for name in ledger.TABLES:
+        table = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        table.coalesce(1).write.option("parquet.block.size", 65536).parquet(str(tmp_path / f"{name}.parquet"))
+    monkeypatch.setattr(ledger, "LINES_A_TASK", 100)
+    asked = []
+    monkeypatch.setattr(ledger, "split_finely", lambda *a, real=ledger.split_finely: asked.append(a[1:]) or real(*a))
+    try:
+        dealt = ledger.sales(spark, str(tmp_path))
+        assert asked == [(f"{tmp_path}/lineitem.parquet", 60)] and spark.conf.get("spark.sql.files.maxPartitionBytes") == str(1 << 20)
+        assert dealt.exceptAll(fact).count() == fact.exceptAll(dealt).count() == 0
+        ledger.split_finely(spark, str(tmp_path), 1)
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(1 << 20)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
