@@ -593,3 +593,19 @@ def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 499), (7, 7)], "u bigint, v bigint").repartition(9)
     got = {r.node: r.component for r in components.connected_components(chain).collect()}
     assert got == {**{i: 0 for i in range(201)}, 499: 499, 500: 499}
+
+
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    """A small link table is settled at once, with what the rounds find."""
+    rng = random.Random(5)
+    frame = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(7, 7), (None, 3)], "u bigint, v bigint").repartition(5)
+    writes = []
+    monkeypatch.setattr(components, "stored", lambda df, name, real=components.stored: writes.append(name) or real(df, name))
+    at_once = components.connected_components(frame).collect()
+    assert writes == ["links"]
+    monkeypatch.setattr(components, "FEW_LINKS", 0)
+    in_rounds = components.connected_components(frame).collect()
+    assert len(writes) > 3 and sorted(at_once) == sorted(in_rounds) and len({r.node for r in at_once}) == len(at_once)
+    assert components.connected_components(frame.filter("u is null")).count() == 0
+    monkeypatch.setattr(components, "FEW_LINKS", 10)
+    assert components.connected_components(frame.filter("u is null")).count() == 0
