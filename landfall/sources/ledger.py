@@ -15,7 +15,7 @@ from ..shared import folder
 
 TABLES = ("region", "nation", "customer", "part", "orders", "lineitem")
 #: Order lines that meet their orders in one task.
-LINES_A_TASK = 500_000
+LINES_A_TASK = 200_000
 
 LEDGER_SCHEMA = T.StructType(
     [
@@ -56,21 +56,33 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an order line; lines of returned and finished orders are negative.
 
     Dimensions are joined on their keys and left to the optimizer, which broadcasts what is small. Where the
-    cores alone would leave a task more than LINES_A_TASK lines, they are read in as many parts and dealt to more tasks by order.
+    cores alone would leave a task more than LINES_A_TASK lines, they are read in as many parts and dealt to more
+    tasks by order; customers then meet the orders, not the lines, and large dimensions are joined in as many
+    tasks, since what Spark deals out by itself goes to a fixed number of partitions.
     """
     t = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES}
     parts = -(-t["lineitem"].count() // LINES_A_TASK)
-    if parts > spark.sparkContext.defaultParallelism:
+    many = parts > spark.sparkContext.defaultParallelism
+    if many:
         split_finely(spark, f"{sf_dir}/lineitem.parquet", parts)
+        parts = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))  # fewer would be dealt anew to so many
         t["lineitem"] = t["lineitem"].repartition(parts, "l_orderkey")
+
+    def joined_to(rows: DataFrame, name: str, key: str, own: str) -> DataFrame:
+        """rows with a dimension; one of more than LINES_A_TASK rows is dealt out with the rows by its key."""
+        if not many or t[name].count() <= LINES_A_TASK:
+            return rows.join(t[name], F.col(key) == F.col(own))
+        return rows.repartition(parts, key).join(t[name].repartition(parts, own).hint("merge"), F.col(key) == F.col(own))
+
     numbered = t["lineitem"].withColumn("line_no", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*[F.col(c) for c in t["lineitem"].columns if c != "l_orderkey"])).cast("bigint"))
-    joined = (
-        numbered.join(t["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    placed = (
+        joined_to(t["orders"], "customer", "o_custkey", "c_custkey")
         .join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-        .join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
     )
+    if many:
+        placed = placed.repartition(parts, "o_orderkey")
+    joined = joined_to(numbered.join(placed, F.col("l_orderkey") == F.col("o_orderkey")), "part", "l_partkey", "p_partkey")
     sign = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), -1).otherwise(1).cast("bigint")
     quantity = sign * F.col("l_quantity").cast("bigint")
     amount = sign * _cents(F.col("l_extendedprice")) * (100 - _cents(F.col("l_discount")))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -263,3 +264,18 @@ def test_many_lines_are_read_in_parts(spark, fact, monkeypatch, tmp_path):
         assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(1 << 20)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_large_dimensions_are_dealt_like_lines(spark, fact, monkeypatch):
+    """No join of many lines is left to a fixed number of partitions, and customers meet orders instead of lines."""
+    monkeypatch.setattr(ledger, "LINES_A_TASK", 100)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        dealt = ledger.sales(spark, "/root/testdata/sf0.001")
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        for key in ("l_orderkey", "o_orderkey", "o_custkey", "c_custkey", "l_partkey", "p_partkey"):
+            assert re.search(rf"hashpartitioning\({key}#\d+L?, 60\), REPARTITION_BY_NUM", plan), key
+        assert not re.search(r"hashpartitioning\((l_|o_)\w+#\d+L?, \d+\), ENSURE_REQUIREMENTS", plan)
+        assert dealt.exceptAll(fact).count() == fact.exceptAll(dealt).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
