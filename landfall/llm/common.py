@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable, Hashable, Iterator
+from collections.abc import Callable, Collection, Hashable, Iterator
 from typing import Any
 
 import numpy as np
@@ -70,36 +70,44 @@ class Kept:
     """What ``make`` gives for keys, remembered in about ``limit`` bytes, however long the keys are.
 
     ``make`` takes a list of different keys and returns the list of their values, which have a length.
-    When the room is used up, what the last call asked for is all that stays.
+    When half of the room is used up, what was not asked for since the last time goes: keys that come
+    again and again stay, however many others come once.
     """
 
     def __init__(self, make: Callable[[list], list], limit: int):
-        self.make, self.limit, self.held = make, limit, 0
-        self.known: dict[Hashable, Any] = {}
+        self.make, self.limit = make, limit
+        self.forget()
 
     def of(self, keys: list) -> list:
         """The values of different keys."""
         found = list(map(self.known.get, keys))
-        missing = [k for k, v in zip(keys, found) if v is None]
-        if not missing:
+        absent = [i for i, v in enumerate(found) if v is None]
+        if not absent:
             return found
-        made = self.make(missing)
-        fresh = iter(made)
-        found = [next(fresh) if v is None else v for v in found]
-        self.held += self._bytes(missing, made)
-        if self.held <= self.limit:
-            self.known.update(zip(missing, made))
-        else:
-            self.held = self._bytes(keys, found)
-            self.known = dict(zip(keys, found)) if self.held <= self.limit else {}
-            self.held *= bool(self.known)
+        fresh, missing = {}, []
+        for i in absent:
+            if (v := self.older.get(k := keys[i])) is None:
+                missing.append(i)
+            else:
+                fresh[k] = found[i] = v
+        if missing:
+            for i, v in zip(missing, self.make([keys[i] for i in missing])):
+                fresh[keys[i]] = found[i] = v
+        size = self._bytes(fresh.keys(), fresh.values())
+        if self.held + size > self.limit // 2:
+            self.known, self.older, self.held = {}, self.known, 0
+        if size <= self.limit // 2:
+            self.known.update(fresh)
+            self.held += size
         return found
 
     def forget(self) -> None:
-        self.known, self.held = {}, 0
+        self.known: dict[Hashable, Any] = {}
+        self.older: dict[Hashable, Any] = {}
+        self.held = 0
 
     @staticmethod
-    def _bytes(keys: list, values: list) -> int:
+    def _bytes(keys: Collection, values: Collection) -> int:
         return sum(map(len, keys)) + sum(map(len, values)) + 150 * len(keys)
 
 

@@ -207,7 +207,9 @@ class PrefixEncoder:
         coded = lists.values.dictionary_encode()
         starts, codes = np.asarray(lists.offsets)[:-1], coded.indices.to_numpy(zero_copy_only=False).copy()
         distinct = coded.dictionary.to_pylist()
-        odd = np.array([not c or c[0].isspace() or c[-1].isspace() or any(m in c for m in self.added) for c in distinct])
+        odd = np.array([not c or c[0].isspace() or c[-1].isspace() for c in distinct])
+        for marker in self.added:
+            odd |= pc.match_substring(coded.dictionary, marker).to_numpy(zero_copy_only=False)
         lone = np.logical_or.reduceat(odd[codes], starts)
         chunks = iter(self.chunks.of([c for c, is_odd in zip(distinct, odd) if not is_odd]))
         values = [b"" if is_odd else next(chunks) for is_odd in odd]

@@ -609,3 +609,16 @@ def test_few_links_need_no_rounds(spark, monkeypatch):
     assert components.connected_components(frame.filter("u is null")).count() == 0
     monkeypatch.setattr(components, "FEW_LINKS", 10)
     assert components.connected_components(frame.filter("u is null")).count() == 0
+
+
+def test_kept_keys_outlive_lone_ones():
+    """A key that comes again and again is made once, however many others come between."""
+    made = []
+    kept = common.Kept(lambda keys: (made.extend(keys), [k * 2 for k in keys])[1], 40_000)
+    for n in range(200):
+        lone = [f"{n}-{i}" for i in range(20)]
+        assert kept.of(lone) == [k * 2 for k in lone]
+        if n % 3 == 0:
+            assert kept.of(["often", lone[0]]) == ["oftenoften", lone[0] * 2]
+        assert Counter(kept._bytes(x.keys(), x.values()) <= 20_000 for x in (kept.known, kept.older)) == {True: 2}
+    assert made.count("often") == 1 and len(made) == 4001
